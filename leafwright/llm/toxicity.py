@@ -87,29 +87,34 @@ class Model:
         lengths = np.array([len(w) for w in words], np.int64)
         letters, end = _letters(raw, np.cumsum(lengths) - lengths, lengths)
         word, place, _ = _grams(letters, end, lengths)
-        c = np.stack([toxic[word], plain[word]]).astype(np.float64)
         at = _Hashes(letters)
-        grams = [np.unique(at(place, n), return_index=True, return_inverse=True) for n in range(1, ORDER + 2)]
-        below = self._shared(at, place, grams)
-        gram, first, code = grams[ORDER]
-        context, home = np.unique(at(place[first], ORDER, 1), return_inverse=True)
-        count = np.stack([np.bincount(code, c[k], len(gram)) for k in (0, 1)])
+        gram, first, code = np.unique(at(place, ORDER + 1), return_index=True, return_inverse=True)
+        count = np.stack([np.bincount(code, c[word], len(gram)) for c in (toxic, plain)])
+        place = place[first]
+        del code, word, first
+        below = self._shared(at, place)
+        context, home = np.unique(at(place, ORDER, 1), return_inverse=True)
         total = np.stack([np.bincount(home, count[k], len(context)) for k in (0, 1)])
         kinds = np.stack([np.bincount(home, count[k] > 0, len(context)) for k in (0, 1)])
         with np.errstate(divide="ignore", invalid="ignore"):
             left = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
             own = np.where(total[:, home] > 0, np.maximum(count - DISCOUNT, 0) / total[:, home], 0.0)
-        p = own + left[:, home] * below[first]
+        p = own + left[:, home] * below
         self.gram, self.ratio = gram, (np.log(p[0]) - np.log(p[1])).astype(np.float32)
         self.context, self.left = context, (np.log(left[0]) - np.log(left[1])).astype(np.float32)
 
     @staticmethod
-    def _shared(at: _Hashes, place: np.ndarray, grams: list) -> np.ndarray:
-        """Probability of each letter by the shared model, of orders 0 to ORDER - 1, counted over distinct longer grams."""
+    def _shared(at: _Hashes, place: np.ndarray) -> np.ndarray:
+        """Probability of each letter by the shared model, of orders 0 to ORDER - 1, counted over distinct longer grams.
+
+        ``place`` has one place of each gram of the highest order, and so at least one of each shorter gram.
+        """
         p = np.full(len(place), 1 / 256)
+        longer = np.unique(at(place, 1), return_index=True, return_inverse=True)
         for n in range(ORDER):
-            _, some, code = grams[n]
-            kinds = np.bincount(code[grams[n + 1][1]], minlength=len(some)).astype(np.float64)
+            _, some, code = longer
+            longer = np.unique(at(place, n + 2), return_index=True, return_inverse=True)
+            kinds = np.bincount(code[longer[1]], minlength=len(some)).astype(np.float64)
             context, home = np.unique(at(place[some], n, 1), return_inverse=True)
             total = np.bincount(home, kinds, len(context))
             distinct = np.bincount(home, kinds > 0, len(context))
