@@ -82,6 +82,13 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming_index import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("pmod(vec_id, 20) = 0"), k=20)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
