@@ -14,6 +14,7 @@ The fit uses ``fit_rows`` labelled rows at most, a documented bound; scoring rea
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +31,6 @@ DISCOUNT = 0.75
 _FEATURES = 5
 
 
-def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of some texts: hash, start, length (in the bytes), and for all tokens their word's number and text."""
-    hashes, starts, lengths, owner = [], [], [], []
-    for i, j in T.slabs(offsets):
-        part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        s, e, per = T.spans(part, off)
-        h, (_, inv) = T.prefix(part, lower=True), T.powers(len(part) + 1)
-        hashes.append(T.mix((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64)))
-        starts.append(s + offsets[i])
-        lengths.append(e - s)
-        owner.append(np.repeat(np.arange(i, j), per))
-    if not hashes:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z, z
-    h, s, n, o = (np.concatenate(x) for x in (hashes, starts, lengths, owner))
-    uniq, first, code = np.unique(h, return_index=True, return_inverse=True)
-    return uniq, s[first], n[first], code, o
-
-
 def _letters(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All words' lower-cased bytes with ``ORDER`` marks before each and one behind; the place where each word ends."""
     size = lengths + ORDER + 1
@@ -82,10 +64,8 @@ class _Hashes:
 class Model:
     """Log ratio of the next letter, toxic over ordinary, by hash of its gram; where the gram is new, by hash of its context."""
 
-    def __init__(self, words: list[bytes], toxic: np.ndarray, plain: np.ndarray) -> None:
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        lengths = np.array([len(w) for w in words], np.int64)
-        letters, end = _letters(raw, np.cumsum(lengths) - lengths, lengths)
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> None:
+        letters, end = _letters(raw, starts, lengths)
         word, place, _ = _grams(letters, end, lengths)
         at = _Hashes(letters)
         gram, first, code = np.unique(at(place, ORDER + 1), return_index=True, return_inverse=True)
@@ -155,13 +135,13 @@ class Model:
         return np.bincount(word, value, len(lengths))
 
 
-def features(column: pa.Array, model: Model) -> np.ndarray:
+def features(column: pa.Array, model: Model | None) -> np.ndarray:
     """Per text: mean log ratio per character, the three highest words' ratios per character, and the log of the count of words."""
     raw, offsets = T.buffers(column)
     n = len(offsets) - 1
     with np.errstate(over="ignore"):
-        hashes, starts, lengths, code, owner = _words(raw, offsets)
-        value = model.known(hashes, raw, starts, lengths)
+        hashes, starts, lengths, code, owner = T.vocabulary(raw, offsets, lower=True)
+        value = model.known(hashes, raw, starts, lengths) if model is not None else np.zeros(len(hashes))
     out = np.zeros((n, _FEATURES))
     if not len(code):
         return out
@@ -204,7 +184,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
         part = batch["part"].to_numpy(zero_copy_only=False).astype(np.int64)
         with np.errstate(over="ignore"):
-            _, starts, lengths, code, owner = _words(raw, offsets)
+            _, starts, lengths, code, owner = T.vocabulary(raw, offsets, lower=True)
         cell = 2 * part[owner] + label[owner]
         counts = np.stack([np.bincount(code[cell == k], minlength=len(starts)) for k in range(4)]) if len(code) else np.zeros((4, 0), np.int64)
         words = [T._LOWER[raw[s : s + n]].tobytes() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
@@ -219,33 +199,53 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, fold: int = 2, o
     return own.join(text, "doc_id").select((F.crc32(F.col("doc_id").cast("string").cast("binary")).bitwiseAND(1024) > 0).cast("int").alias("part"), "toxic", "text")
 
 
-def fit(rows: DataFrame) -> tuple[Model, np.ndarray]:
-    """The models and the logistic weights.
+def _train(table: pa.Table) -> pa.Table:
+    """The models of each half's words and of both."""
+    raw, offsets = T.buffers(table.column("word"))
+    starts, lengths = offsets[:-1], np.diff(offsets)
+    p0, t0, p1, t1 = (table.column(c).to_numpy().astype(np.float64) for c in ("p0", "t0", "p1", "t1"))
+    out = {}
+    for name, toxic, plain in (("0", t1, p1), ("1", t0, p0), ("both", t0 + t1, p0 + p1)):
+        keep = np.flatnonzero(toxic + plain > 0)
+        with np.errstate(over="ignore"):
+            out[name] = pickle.dumps(Model(raw, starts[keep], lengths[keep], toxic[keep], plain[keep]))
+    return pa.table({"name": pa.array(list(out), pa.string()), "model": pa.array(list(out.values()), pa.binary())})
+
+
+_models: dict[int, list] = {}
+
+
+def _loaded(pickled: list[bytes]) -> list[Model]:
+    """The models of a broadcast, unpickled once in each worker."""
+    key = hash(tuple(pickled))
+    if key not in _models:
+        _models.clear()
+        _models[key] = [pickle.loads(x) for x in pickled]
+    return _models[key]
+
+
+def fit(rows: DataFrame) -> tuple[bytes, np.ndarray]:
+    """The pickled model and the logistic weights.
 
     Both halves' models score the other half to fit the weights, so that these don't rest on words that a
     model has seen in the very text; the final model has the counts of both halves.
     """
     counted = rows.mapInArrow(_count_words, "word binary, p0 long, t0 long, p1 long, t1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("p0", "t0", "p1", "t1")))
-    got = counted.toArrow()  # the words of ``fit_rows`` texts
-    words = [x.as_py() for x in got.column("word").combine_chunks()]
-    p0, t0, p1, t1 = (got.column(c).to_numpy().astype(np.float64) for c in ("p0", "t0", "p1", "t1"))
-    del got
-
-    def of(toxic: np.ndarray, plain: np.ndarray) -> Model:
-        keep = np.flatnonzero(toxic + plain > 0)
-        with np.errstate(over="ignore"):
-            return Model([words[i] for i in keep.tolist()], toxic[keep], plain[keep])
-
-    halves = [of(t1, p1), of(t0, p0)]
-    cast = rows.sparkSession.sparkContext.broadcast(halves)  # as large as the words of the fitted rows
+    # one task, as large as the words of ``fit_rows`` texts
+    made = counted.groupBy(F.lit(0).alias("all")).applyInArrow(_train, "name string, model binary").collect()
+    models = {r["name"]: bytes(r["model"]) for r in made}
+    if not models:
+        models = dict.fromkeys(("0", "1", "both"), pickle.dumps(None))
+    cast = rows.sparkSession.sparkContext.broadcast([models["0"], models["1"]])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            halves = _loaded(cast.value)
             part = batch["part"].to_numpy(zero_copy_only=False)
             x = np.zeros((len(part), _FEATURES))
             for k in (0, 1):
                 at = np.flatnonzero(part == k)
-                x[at] = features(batch["text"].take(pa.array(at)), cast.value[k])
+                x[at] = features(batch["text"].take(pa.array(at)), halves[k])
             yield pa.RecordBatch.from_arrays([batch["toxic"], *(pa.array(x[:, k]) for k in range(_FEATURES))], ["toxic", *(f"x{k}" for k in range(_FEATURES))])
 
     seen = rows.mapInArrow(measure, "toxic int, " + ", ".join(f"x{k} double" for k in range(_FEATURES))).toArrow()
@@ -257,7 +257,7 @@ def fit(rows: DataFrame) -> tuple[Model, np.ndarray]:
         weights[0] = -5.0 if not len(y) or y.max() < 1 else 5.0
     else:
         weights = _logistic(_curve(x), y)
-    return of(t0 + t1, p0 + p1), weights
+    return models["both"], weights
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.3) -> DataFrame:
@@ -268,13 +268,12 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshol
     words. A null ``doc_id`` is scored and not held out. Without labels of both kinds the score is constant.
     """
     model, weights = fit(labelled(docs, labels, fit_rows))
-    cast = docs.sparkSession.sparkContext.broadcast((model, weights))  # as large as the words of the fitted rows
+    cast = docs.sparkSession.sparkContext.broadcast([model])  # as large as the words of the fitted rows
     docs = docs.drop("held_out", "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, w = cast.value
         for batch in batches:
-            z = _curve(features(batch["_lw_text"], model)) @ w[1:] + w[0]
+            z = _curve(features(batch["_lw_text"], _loaded(cast.value)[0])) @ weights[1:] + weights[0]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             rest = [c for i, c in enumerate(batch.columns) if batch.schema.field(i).name != "_lw_text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(p)], [*(n for n in batch.schema.names if n != "_lw_text"), "score"])
