@@ -89,6 +89,18 @@ def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("pmod(vec_id, 20) = 0"), k=20)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

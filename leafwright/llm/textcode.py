@@ -123,6 +123,22 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes), np.concatenate(counts)
 
 
+def vocabulary(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of some texts: hash, start, length (in the bytes); for all words their number among these, and their text."""
+    hashes, starts, lengths, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in slabs(offsets):
+        part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        s, e, per = spans(part, off)
+        h, (_, inv) = prefix(part, lower), powers(len(part) + 1)
+        hashes.append(mix((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64) * _M2))
+        starts.append(s + offsets[i])
+        lengths.append(e - s)
+        owner.append(np.repeat(np.arange(i, j), per))
+    h, s, n, o = (np.concatenate(x) for x in (hashes, starts, lengths, owner))
+    uniq, first, code = np.unique(h, return_index=True, return_inverse=True)
+    return uniq, s[first], n[first], code, o
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of ``k`` words.
 
