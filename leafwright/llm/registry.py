@@ -101,6 +101,12 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree_lm import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
