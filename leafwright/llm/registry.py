@@ -101,6 +101,12 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_tree_lm import score
 

@@ -29,6 +29,8 @@ _LOWER[65:91] += 32
 _VALUE_LOWER = _VALUE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All of ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -89,9 +91,12 @@ def prefix(raw: np.ndarray, lower: bool = False) -> np.ndarray:
     return out
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each text, and the count of words in each."""
-    solid = ~_SPACE[raw]
+def spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each text, and the count of words in each.
+
+    Other bytes part words if they are set in ``space``.
+    """
+    solid = ~space[raw]
     before = np.empty(len(raw), bool)
     if len(raw):
         before[0] = False
@@ -111,12 +116,12 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, per
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word with A-Z lower-cased, in order, and the count of words of each text."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in slabs(offsets):
         part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        s, e, per = spans(part, off)
+        s, e, per = spans(part, off, space)
         h, (_, inv) = prefix(part, lower=True), powers(len(part) + 1)
         hashes.append(mix((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64) * _M2))
         counts.append(per)
