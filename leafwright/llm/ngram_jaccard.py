@@ -28,17 +28,17 @@ from . import exchange as X
 from . import textcode as T
 
 BITMAP_MIN, BITMAP_MAX, TILE = 256, 4096, 2048
-_SETS = "blob int, doc_id long, n long, node long, unseen int, shingles binary"
+_SETS = "blob int, doc_id long, text_key long, n long, node long, unseen int, shingles binary"
 
 
-def _blob_sets(table: pa.Table, k: int) -> tuple[list, list[np.ndarray], np.ndarray]:
+def _blob_sets(table: pa.Table, k: int) -> tuple[list, list[np.ndarray], np.ndarray, pa.ChunkedArray]:
     ids = table.column("doc_id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
     table = table.take(pa.array(order, pa.int64()))
     with np.errstate(over="ignore"):
         sets = T.shingle_sets(*T.buffers(table.column("text")), k)
         nodes = np.array([T.digest64(s) if len(s) else 0 for s in sets], np.uint64)
-    return table.column("doc_id").to_pylist(), sets, nodes
+    return table.column("doc_id").to_pylist(), sets, nodes, table.column("text_key")
 
 
 def _census(sets: list[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def _census(sets: list[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.n
 def _ask(k: int, buckets: int):
     def ask(table: pa.Table) -> pa.Table:
         blob = table.column("blob")[0].as_py()
-        keys, _ = _census(*_blob_sets(table, k)[1:])
+        keys, _ = _census(*_blob_sets(table, k)[1:3])
         keys, present, cut = X.sorted_by_bucket(keys, buckets)
         low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         parts = [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -78,7 +78,7 @@ def _tell(table: pa.Table) -> pa.Table:
 
 def _keep(k: int, buckets: int, percent: int):
     def keep(table: pa.Table, told: pa.Table) -> pa.Table:
-        ids, sets, nodes = _blob_sets(table, k)
+        ids, sets, nodes, keys_ = _blob_sets(table, k)
         keys, local = _census(sets, nodes)
         arranged, present, cut = X.sorted_by_bucket(keys, buckets)
         bits = dict(zip(told.column("bucket").to_pylist(), told.column("bits").combine_chunks(), strict=True)) if len(told) else {}
@@ -101,7 +101,7 @@ def _keep(k: int, buckets: int, percent: int):
             unseen.append(alone)
             arrays.append(np.concatenate([s[~again], s[again]]).tobytes())
         blob = table.column("blob")[0].as_py()
-        return pa.table({"blob": pa.array([blob] * len(ids), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes.view(np.int64)), "unseen": pa.array(unseen, pa.int32()), "shingles": X.binary(arrays)})
+        return pa.table({"blob": pa.array([blob] * len(ids), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "text_key": keys_, "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes.view(np.int64)), "unseen": pa.array(unseen, pa.int32()), "shingles": X.binary(arrays)})
 
     return keep
 
@@ -211,15 +211,16 @@ def _tiles(percent: int):
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``.
+    """One row per document: ``doc_id, n_shingles, component_id, text_key`` (xxhash64 of the text).
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Words are ``[^\\x20\\x09-\\x0D]+``
     with A-Z lower-cased. A null, empty or blank text has an empty set and links with nothing, so it
     is its own component. Rows with a null ``doc_id`` are kept; they take part, but name no component.
-    Repeated rows come back as often as they came. ``component_id`` is the smallest ``doc_id`` reachable.
+    Repeated rows come back as often as they came. ``component_id`` is the smallest ``doc_id`` reachable;
+    ``class_id`` tells components apart even where ids are null or repeated (0: an empty set).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = X.with_blob(rows, "doc_id", "text")
+    rows = X.with_blob(rows.withColumn("text_key", F.xxhash64("text")), "doc_id", "text_key")
     buckets = X.blob_count(rows)
     asked = rows.groupBy("blob").applyInArrow(_ask(k, buckets), "bucket int, blob int, keys binary")
     told = asked.groupBy("bucket").applyInArrow(_tell, "bucket int, blob int, bits binary")
@@ -242,6 +243,6 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int =
     work = routed.join(arrays, ["node", "blob"]).withColumn("slot", F.pmod(F.xxhash64("pair"), F.lit(4 * buckets)).cast("int"))
     forest = work.groupBy("slot").applyInArrow(_tiles(percent), "u long, v long")
     linked = X.components(forest)
-    named = sets.select("doc_id", "n", "node").join(linked, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    named = sets.select("doc_id", "text_key", "n", "node").join(linked, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "text_key", F.coalesce("root", F.lit(0)).alias("class_id"))

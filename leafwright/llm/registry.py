@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import jaccard_classes
 
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -113,9 +113,18 @@ def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {"pipeline": pipeline} | {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    import corpus_pipeline
+
+    own = {"op1_chat_format": OP1_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in own.items() if v}
