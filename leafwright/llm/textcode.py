@@ -73,6 +73,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def runs(column: pa.Array, size: int = 4 << 20):
+    """Ranges (first, last) of rows whose texts make up about ``size`` bytes each: a batch is worked off in these."""
+    yield from slabs(buffers(column)[1], size)
+
+
 def slabs(offsets: np.ndarray, size: int = SLAB_BYTES):
     """Ranges (first, last) of texts that make up about ``size`` bytes each."""
     n, i = len(offsets) - 1, 0

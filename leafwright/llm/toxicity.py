@@ -136,6 +136,12 @@ class Model:
 
 
 def features(column: pa.Array, model: Model | None) -> np.ndarray:
+    """Features of the texts of a batch, worked off in runs of a few megabytes."""
+    parts = [_features_of(column.slice(i, j - i), model) for i, j in T.runs(column)]
+    return np.concatenate([np.zeros((0, _FEATURES)), *parts])
+
+
+def _features_of(column: pa.Array, model: Model | None) -> np.ndarray:
     """Per text: mean log ratio per character, the three highest words' ratios per character, and the log of the count of words."""
     raw, offsets = T.buffers(column)
     n = len(offsets) - 1
@@ -179,7 +185,7 @@ def _curve(x: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, j - i) for b in batches for i, j in T.runs(b["text"])):
         raw, offsets = T.buffers(batch["text"])
         label = batch["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
         part = batch["part"].to_numpy(zero_copy_only=False).astype(np.int64)
