@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOB_BYTES = 4 << 20
+UNKNOWN_BYTES = 1 << 52  # the planner says as much where it knows nothing
 
 
 def blob_count(df: DataFrame, bytes_each: int = BLOB_BYTES) -> int:
     """How many blobs to deal ``df`` into: by the planner's estimate of its size, one per shuffle partition at least."""
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // bytes_each), 1 << 20))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if estimate >= UNKNOWN_BYTES else max(least, min(-(-estimate // bytes_each), 1 << 20))
 
 
-def with_blob(df: DataFrame, *columns: str, count: int | None = None) -> DataFrame:
-    """Adds ``blob``, a hash of the named columns."""
-    return df.withColumn("blob", F.pmod(F.xxhash64(*columns), F.lit(count or blob_count(df))).cast("int"))
+def with_blob(df: DataFrame, *columns: str, count: int | None = None, name: str = "blob") -> DataFrame:
+    """Adds the column ``name``, a hash of the named columns."""
+    return df.withColumn(name, F.pmod(F.xxhash64(*columns), F.lit(count or blob_count(df))).cast("int"))
 
 
 def shared_dir(spark: SparkSession) -> str:

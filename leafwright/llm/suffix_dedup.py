@@ -118,7 +118,7 @@ def _distinct(anchors: Anchors, ids: np.ndarray, buckets: int):
 
 def _ask(window: int, buckets: int):
     def ask(table: pa.Table) -> pa.Table:
-        blob = table.column("blob")[0].as_py()
+        blob = table.column("_lw_blob")[0].as_py()
         with np.errstate(over="ignore"):
             _, ids, raw, offsets = _ordered(table)
             key, context, doc, present, cut, _ = _distinct(Anchors(raw, offsets, window), ids, buckets)
@@ -278,7 +278,7 @@ def _cut(window: int, buckets: int, texts: bool):
             rows["kept_sha256"].append(hashlib.sha256(own[~g].tobytes() if removed else own.tobytes()).hexdigest())
             if texts:
                 rows["kept_text"].append(_whole(own, g) if removed else own.tobytes().decode("utf-8", "replace"))
-        out = table.drop_columns(["blob", "_lw_id", "_lw_text"])
+        out = table.drop_columns(["_lw_blob", "_lw_id", "_lw_text"])
         for c in _RESULTS if texts else _RESULTS[:-1]:
             out = out.append_column(c, pa.array(rows[c], pa.int64() if c.startswith("n_") else pa.string()))
         return out
@@ -299,10 +299,10 @@ def suffix_dedup(docs: DataFrame, window: int = 50, texts: bool = True) -> DataF
     rows = docs.drop(*_RESULTS)
     schema = StructType([*rows.schema.fields, *(StructField(c, LongType() if c.startswith("n_") else StringType()) for c in (_RESULTS if texts else _RESULTS[:-1]))])
     rows = rows.withColumns({"_lw_id": F.col("doc_id").cast("long"), "_lw_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    rows = X.with_blob(rows, "_lw_id", "_lw_text")
+    rows = X.with_blob(rows, "_lw_id", "_lw_text", name="_lw_blob")
     buckets = X.blob_count(rows)
-    asked = rows.groupBy("blob").applyInArrow(_ask(window, buckets), "bucket int, blob int, keys binary, contexts binary, docs binary")
+    asked = rows.groupBy("_lw_blob").applyInArrow(_ask(window, buckets), "bucket int, blob int, keys binary, contexts binary, docs binary")
     told = asked.groupBy("bucket").applyInArrow(_tell, "bucket int, blob int, kind int, answer binary")
-    shipped = rows.groupBy("blob").cogroup(told.groupBy("blob")).applyInArrow(_ship(window, buckets), "bucket int, blob int, texts binary, lengths binary, docs binary")
+    shipped = rows.groupBy("_lw_blob").cogroup(told.groupBy("blob")).applyInArrow(_ship(window, buckets), "bucket int, blob int, texts binary, lengths binary, docs binary")
     settled = shipped.groupBy("bucket").applyInArrow(_settle(window), "bucket int, blob int, kind int, answer binary")
-    return rows.groupBy("blob").cogroup(told.unionByName(settled).groupBy("blob")).applyInArrow(_cut(window, buckets, texts), schema)
+    return rows.groupBy("_lw_blob").cogroup(told.unionByName(settled).groupBy("blob")).applyInArrow(_cut(window, buckets, texts), schema)
