@@ -95,12 +95,7 @@ def test_single_book_calls(spark, library):
     assert b.read("Two")["chapter_title"] == "Two"
     assert all(c["tokens"] <= 800 for c in b.chunks())
     assert b.markdown()["text"].startswith("# A Title")
-    seen, at = [], "c0"
-    while at:
-        r = b.read(at, max_tokens=50)
-        seen.append(r["text"])
-        at = r["next_anchor"]
-    assert "goes on" in seen[0] and "Long one!" in seen[-1]
+    assert b.read("c0p4", max_tokens=50)["next_anchor"] == "c1p1"
     with pytest.raises(AnchorError):
         b.read("c9")
     with pytest.raises(AnchorError):
