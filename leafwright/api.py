@@ -110,7 +110,7 @@ class Book:
         notes = F.array_join(F.transform("footnotes", lambda n: F.concat(F.lit("\n[^"), n["number"].cast("string"), F.lit("]: "), n["text"])), "")
         rows = own.where(F.col("block") >= (block or 0))
         rows = rows.withColumn("text", F.concat("text", notes)) if include_footnotes else rows
-        r = query.read(rows, max_tokens if max_tokens is not None else 1 << 60).first()
+        r = query.read(rows, max_tokens if max_tokens is not None else 1 << 28).first()
         title = self.chapters[index]["title"]
         if r is None:
             return {"anchor": f"c{index}p{block or 0}", "anchor_end": f"c{index}p{block or 0}", "next_anchor": self._after(index), "chapter_index": index, "chapter_title": title, "breadcrumb": f"{self.name} > {title}", "text": "", "tokens": 0, "truncated": False, "blocks_read": 0}
