@@ -16,11 +16,16 @@ from leafwright.operators import query
 from leafwright.sources import epub
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """A relation of one book as local rows: calls on it start from a plan of one node. A book's size is bounded by its file's."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def _rows(spark: SparkSession, path: str, container_only: bool = False) -> DataFrame:
     if "://" not in path and not os.path.exists(path):
         raise NotABookError(f"no such file: {path}")
     files = spark.read.format("binaryFile").load(path)
-    rows = epub.unpack(files, container_only).cache()
+    rows = _held(epub.unpack(files, container_only))
     status = epub.of(rows, "status").first()["status"]
     if status == "protected":
         raise ProtectedError(f"{path} is encrypted")
@@ -49,10 +54,10 @@ class Book:
         made = epub.build(rows)
         self.meta = epub.metadata(rows).first().asDict()
         self.name = self.meta.get("title") or os.path.basename(source)
-        self.blocks = made["blocks"].withColumn("book", F.lit(self.name)).cache()
+        self.blocks = _held(made["blocks"].withColumn("book", F.lit(self.name)))
         self.chapters = [r.asDict() for r in made["chapters"].orderBy("chapter").collect()]
         self.warnings = [r["message"] for r in made["warnings"].orderBy("ord").collect()]
-        self.toc = made["toc"]
+        self.toc = _held(made["toc"])
 
     def info(self) -> dict:
         return {**self.stats(), "meta": self.meta, "source": self.source}

@@ -84,7 +84,6 @@ def test_container_only(spark, library):
     assert epub.of(rows, "block").count() == 0 and epub.of(rows, "spine").count() == 13
 
 
-@pytest.mark.skip(reason="open: failed once with a cast error that has since been mended, and takes over two minutes; not yet seen to pass")
 def test_single_book_calls(spark, library):
     b = api.open_book(spark, str(library / "clean.epub"))
     assert b.stats()["chapters"] == 3
