@@ -1,10 +1,10 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The root is the add-``ALPHA`` distribution of single tokens. A context of one or two words is a candidate if
-it makes up a share ``P_MIN`` of all training tokens; it becomes a state if its next-token distribution, smoothed
+The root is the add-``ALPHA`` distribution of single tokens. A context of up to ``DEPTH`` words is a candidate if
+it occurs ``MIN_CONTEXT`` times in training, at any size; it becomes a state if its next-token distribution, smoothed
 towards its parent's with ``PRIOR`` pseudo-counts, diverges from the parent's by ``DIVERGENCE`` nats over all
-its occurrences. Tokens rarer than ``P_MIN`` share, after a state, the probability that the state leaves to them, in
-the proportions of the root; so every state's distribution sums to one. A token is scored by the state of the
+its occurrences. A state may predict every token of training. Tokens that training has not seen share, after a state, the
+probability that the state leaves to them; so every state's distribution sums to one. A token is scored by the state of the
 longest context before it. Texts begin in the context of an end.
 
 Counts run over all training texts. Each blob of documents asks hash buckets about its distinct tokens, then about
@@ -27,8 +27,8 @@ from . import exchange as X
 from . import textcode as T
 from .suffix_dedup import planes, unplanes
 
-ALPHA, DEPTH = 0.1, 2
-P_MIN, PRIOR, DIVERGENCE = 4e-5, 32.0, 20.0
+ALPHA, DEPTH = 0.1, 3
+MIN_CONTEXT, PRIOR, DIVERGENCE = 2, 32.0, 20.0
 END = np.uint64(0x5851F42D4C957F2D)
 _ANSWER = "level int, bucket int, blob int, counts binary, groups binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -98,8 +98,7 @@ class _Model:
             count[order[i:j]] = unplanes(self.told[0, bucket][0].as_buffer(), 8)
         self.count = count[blob.code]
         self.base = np.log((self.count + ALPHA) / (n + ALPHA * (v + 1)))
-        self.least = max(1.0, P_MIN * n)
-        self.common = self.count >= self.least
+        self.common = self.count > 0
         self.p = self.base.copy()
         self.rare = None  # log probability of all rare tokens together, in the state of each place
 
@@ -116,10 +115,10 @@ class _Model:
             h[b.first] = END
             ends = self.count[np.flatnonzero(b.token == END)]
             c[b.first] = ends[0] if len(ends) else 0
-            return T.mix(h + np.uint64(1)), c, c >= self.least
+            return T.mix(h + np.uint64(1)), c, c >= MIN_CONTEXT
         h, c, ok = np.zeros(len(b.token), np.uint64), np.zeros(len(b.token)), np.zeros(len(b.token), bool)
         h[1:], c[1:], ok[1:] = T.mix(self.context * T._P + b.token)[:-1], self.pair[:-1], self.inside[:-1]
-        ok &= self.inside & (c >= self.least)  # the parent is a state too
+        ok &= self.inside & (c >= MIN_CONTEXT)  # the parent is a state too
         ok[b.first] = False
         return h, c, ok
 
@@ -241,7 +240,7 @@ def score(docs: DataFrame) -> DataFrame:
         counts = np.concatenate([unplanes(x.as_buffer(), 8) for x in table.column("counts").combine_chunks()])
         kind, code = np.unique(keys, return_inverse=True)
         total = np.bincount(code, counts, len(kind))
-        big = total[total >= max(1.0, P_MIN * n)]
+        big = total[total > 0]
         return pa.table({"p": pa.array([float(((big + ALPHA) / (n + ALPHA * (v + 1))).sum())])})
 
     share = 1.0 - (asked.groupBy("bucket").applyInArrow(rare_share, "p double").agg(F.sum("p")).first()[0] or 0.0)

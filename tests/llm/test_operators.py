@@ -105,6 +105,28 @@ def test_every_state_sums_to_one(spark):
     assert sum(10 ** got[i]["score"] for i, _ in tests[:3]) + end <= 1 + 1e-9
 
 
+def test_rare_pairs_and_deep_contexts_become_states(spark):
+    """A pair of 8 among 400,000 tokens is learnt, and a word that only the third word before it tells."""
+    rng = random.Random(3)
+    filler = [f"w{i}" for i in range(400)] + ["m", "n"] * 3
+    w = lambda n: [rng.choice(filler) for _ in range(n)]
+    train = [i for i in range(1, 500) if zlib.crc32(str(i).encode()) % 10]
+    rows = []
+    for k, i in enumerate(train[:80]):
+        text = w(5000)
+        if k < 8:
+            text[100:100] = ["qq", "zz"]
+        for j in range(4):
+            text[200 * j : 200 * j] = ["x1", "m", "n", "y1"] if (k + j) % 2 else ["x2", "m", "n", "y2"]
+        rows.append((i, " ".join(text)))
+    held = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += list(zip(held, ["qq zz", "x1 m n y1", "x1 m n y2"], strict=False))
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]]["train_tokens"] > 400_000
+    assert got[held[0]]["score"] - got[held[0]]["base_score"] > 2
+    assert got[held[1]]["score"] - got[held[2]]["score"] > 0.5
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     w = lambda n: [rng.choice("ba be bi bo bu".split()) + rng.choice("lam lem lim lom".split()) for _ in range(n)]
