@@ -5,8 +5,9 @@ variable order is counted from the allowed ones and one from the blocked ones, a
 fits is judged by the difference of its two log-likelihoods per character against a calibrated limit.
 
 A context is kept if it was seen ``min_context`` times; a character is scored in the longest context that
-is kept, with additive smoothing. Counting is a plain aggregation over all examples. The scored table
-has a fixed number of slots (``slots``), so what is sent to the executors does not grow with the data.
+is kept, with additive smoothing. Counting is a plain aggregation over all examples, and the kept grams stay a table
+with their keys. A character's score hangs on itself and the ``ORDER`` characters before it, so each distinct window of
+that length is looked up once, and the urls are joined to the windows.
 Only DataFrame functions run on the executors.
 """
 
@@ -17,7 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, SLOTS, MIN_CONTEXT, BETA, SYMBOLS, SCALE = 4, 1 << 17, 20, 0.2, 64, 1000
+from . import exchange as X
+
+ORDER, MIN_CONTEXT, BETA, SYMBOLS, SCALE = 4, 20, 0.2, 64, 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str]
@@ -50,15 +53,10 @@ def _text(rest: Column) -> Column:
     return F.concat(F.lit("^" * ORDER), F.translate(rest, _UPPER, _LOWER), F.lit("$"))
 
 
-def _slot(key: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
-
+def fit(examples: DataFrame, min_context: int = MIN_CONTEXT) -> DataFrame:
+    """``key, lr``: the log ratio of the two models in thousandths, from rows ``s`` (marked text) and ``good`` (boolean).
 
-def fit(examples: DataFrame, slots: int = SLOTS, min_context: int = MIN_CONTEXT) -> list[int]:
-    """Slots of the log ratio of the two models, from rows ``s`` (marked text) and ``good`` (boolean).
-
-    A slot is 0 where nothing is kept, else 1 + 100000 + the ratio in thousandths. If two keys meet in a slot
-    the one with more examples stays.
+    A key is ``g`` and a gram of a kept context, or ``c`` and a kept context, for characters that it has not seen.
     """
     at = F.sequence(F.lit(ORDER + 1), F.length("s"))
     grams = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda n: F.col("s").substr(i - n, n + 1))))
@@ -67,29 +65,22 @@ def fit(examples: DataFrame, slots: int = SLOTS, min_context: int = MIN_CONTEXT)
     seen = seen.withColumn("ctx", F.expr("substr(gram, 1, length(gram) - 1)"))
     ctx = seen.groupBy("ctx").agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).where(F.col("na") + F.col("nb") >= min_context)
     all_ = F.lit(BETA * SYMBOLS)
-    floor = ctx.select(F.concat(F.lit("c"), "ctx").alias("key"), (F.col("na") + F.col("nb")).alias("n"), F.log((F.col("nb") + all_) / (F.col("na") + all_)).alias("lr"))
-    known = seen.join(ctx, "ctx").select(F.concat(F.lit("g"), "gram").alias("key"), (F.col("a") + F.col("b")).alias("n"), (F.log((F.col("a") + BETA) / (F.col("na") + all_)) - F.log((F.col("b") + BETA) / (F.col("nb") + all_))).alias("lr"))
-    held = known.unionByName(floor).groupBy(_slot(F.col("key"), slots).alias("slot")).agg(F.max_by("lr", F.struct("n", "key")).alias("lr"))
-    out = [0] * slots
-    for slot, lr in held.select("slot", (F.round(F.col("lr") * SCALE) + 100001).cast("int")).collect():  # at most ``slots`` rows
-        out[slot] = lr
-    return out
+    floor = ctx.select(F.concat(F.lit("c"), "ctx").alias("key"), F.log((F.col("nb") + all_) / (F.col("na") + all_)).alias("lr"))
+    known = seen.join(ctx, "ctx").select(F.concat(F.lit("g"), "gram").alias("key"), (F.log((F.col("a") + BETA) / (F.col("na") + all_)) - F.log((F.col("b") + BETA) / (F.col("nb") + all_))).alias("lr"))
+    return known.unionByName(floor).select("key", F.round(F.col("lr") * SCALE).cast("int").alias("lr"))
 
 
-def ratio(s: Column, model: list[int]) -> Column:
-    """Log-likelihood ratio per character of marked text ``s``: above 0 the accepted model fits better."""
-    slots = len(model)
-    held = F.from_json(F.lit("[" + ",".join(map(str, model)) + "]"), "array<int>")  # folded into one literal
-
-    def one(i: Column) -> Column:
-        keys = []
-        for n in range(ORDER, -1, -1):
-            keys += [F.concat(F.lit("g"), s.substr(i - n, F.lit(n + 1))), F.concat(F.lit("c"), s.substr(i - n, F.lit(n)))]
-        found = F.filter(F.transform(F.array(*keys), lambda k: F.get(held, _slot(k, slots))), lambda v: v > 0)
-        return F.coalesce(F.get(found, F.lit(0)) - 100001, F.lit(0))
-
-    total = F.aggregate(F.sequence(F.lit(ORDER + 1), F.length(s)), F.lit(0).cast("long"), lambda acc, i: acc + one(i))
-    return total / F.lit(float(SCALE)) / (F.length(s) - ORDER)
+def ratios(texts: DataFrame, model: DataFrame) -> DataFrame:
+    """``s, ratio`` of distinct marked texts ``s``: log-likelihood ratio per character, above 0 where the accepted model fits better."""
+    at = F.sequence(F.lit(ORDER + 1), F.length("s"))
+    windows = texts.select("s", F.explode(F.transform(at, lambda i: F.col("s").substr(i - ORDER, F.lit(ORDER + 1)))).alias("w"))
+    keys = []
+    for n in range(ORDER, -1, -1):
+        keys += [F.concat(F.lit("g"), F.substring("w", ORDER + 1 - n, n + 1)), F.concat(F.lit("c"), F.substring("w", ORDER + 1 - n, n))]
+    asked = windows.select("w").distinct().select("w", F.posexplode(F.array(*keys)).alias("rank", "key"))
+    values = asked.join(model, "key").groupBy("w").agg(F.min_by("lr", "rank").alias("lr"))
+    total = windows.join(values, "w", "left").groupBy("s").agg(F.sum(F.coalesce("lr", F.lit(0))).alias("total"))
+    return total.select("s", (F.col("total") / F.lit(float(SCALE)) / (F.length("s") - ORDER)).alias("ratio"))
 
 
 def limit(scored: DataFrame) -> float:
@@ -120,8 +111,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], folds: int = 5) -> DataFrame:
     urls = pages.select(_text(rest).alias("s"), fit_.getField("verdict").alias("v")).where("v IS NOT NULL")
     urls = urls.select("s", (F.col("v") == "allow").alias("good"), (F.crc32("s") % folds == 0).alias("test"))
     model = fit(urls.where("NOT test"))
-    at = limit(urls.where("test").select("good", ratio(F.col("s"), model).alias("ratio")))
+    scored = X.settle(ratios(pages.select(_text(rest).alias("s")).distinct(), model))
+    at = limit(urls.where("test").join(scored, "s").select("good", "ratio"))
     out = pages.withColumn("_lw_s", _text(rest)).withColumns({"_lw_host": host, "_lw_path": path, "_lw_rule": fit_})
-    out = out.withColumn("_lw_ratio", ratio(F.col("_lw_s"), model))
+    out = out.join(scored.withColumnsRenamed({"s": "_lw_s", "ratio": "_lw_ratio"}), "_lw_s", "left")
     named = {"host": F.col("_lw_host"), "path": F.col("_lw_path"), "rule": F.col("_lw_rule.rule"), "ratio": F.col("_lw_ratio"), "verdict": F.coalesce("_lw_rule.verdict", F.when(F.col("_lw_ratio") >= at, "allow").otherwise("block"))}
     return out.withColumns(named).drop("_lw_s", "_lw_host", "_lw_path", "_lw_rule", "_lw_ratio")

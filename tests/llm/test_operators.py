@@ -239,6 +239,42 @@ def test_urls(spark):
     assert url_filter.judge(df.where("false"), registry.RULES).count() == 0
 
 
+def test_url_ratios_are_those_of_the_grams_asked_for(spark):
+    """Brute force with a dictionary: no url takes the ratio of another gram."""
+    rng = random.Random(8)
+    w = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(n))
+    rules = [("allow", "com/en/"), ("block", "org/es/")]
+    parts = [w(6) for _ in range(40)]
+    urls = [f"http://{rng.choice(parts)}.{t}/{p}/{rng.choice(parts)}{i}" for i in range(900) for t, p in (("com", "en"), ("org", "es"))]
+    urls += [f"http://{w(12)}.net/{w(30)}" for _ in range(200)]
+    marked = lambda u: "^^^^" + u[7:] + "$"
+    seen, ctx = {}, {}
+    for u in urls:
+        s, good = marked(u), ".com/en/" in u
+        if (good or ".org/es/" in u) and zlib.crc32(s.encode()) % 5:
+            for i in range(4, len(s)):
+                for n in range(5):
+                    for table, key in ((seen, s[i - n : i + 1]), (ctx, s[i - n : i])):
+                        table.setdefault(key, [0, 0])[0 if good else 1] += 1
+    all_ = 0.2 * 64
+
+    def one(g):
+        for n in range(4, -1, -1):
+            c = ctx.get(g[4 - n : 4])
+            if c and sum(c) >= 20:
+                a, b = seen.get(g[4 - n :], (None, None))
+                if a is None:
+                    return math.log((c[1] + all_) / (c[0] + all_))
+                return math.log((a + 0.2) / (c[0] + all_)) - math.log((b + 0.2) / (c[1] + all_))
+        return 0.0
+
+    got = {r["page_id"]: r["ratio"] for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        s = marked(u)
+        assert abs(got[k] - sum(one(s[i - 4 : i + 1]) for i in range(4, len(s))) / (len(s) - 4)) < 6e-4
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<article><p>a, b.</p></article>", "x"), (2, None, "x"), (2, None, "x")], "page_id long, html string, text string")
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.main_text(df).collect()) == Counter([(1, "a, b.", 5), (2, "", 0), (2, "", 0)])
