@@ -3,8 +3,8 @@
 A page becomes blocks of text, each with the path of block elements from the root to it. Per path, the
 text outside links and the punctuation are added up and divided by the count of blocks; both ratios are smoothed over
 neighbouring paths in page order, multiplied, and held against a share of the page's highest value. Blocks on paths
-that pass are content nodes. The element that holds most of their weight is the article: its other blocks,
-such as headings, belong to it unless they are mostly links. Menus, headers, footers, sidebars, notices, adverts,
+that pass are content nodes and all belong to the text, unless they are mostly links. So do the other blocks of the element
+that holds most of their weight, and headings inside the lowest element that holds all of them. Menus, headers, footers, sidebars, notices, adverts,
 forms and comments, known by element, role, class or id, take no part from the start.
 """
 
@@ -199,8 +199,20 @@ def extract(page: str | None) -> str:
     value = dict(zip(paths, (a * b for a, b in zip(length, points, strict=True)), strict=True))
     least = PATH_SHARE * max(value.values())
     weight: dict[int, list] = {}
+    common: list[_Element] | None = None  # the elements that hold all content nodes, lowest first
     for e, text, links in found:
         if value[e.path] >= least and 2 * links <= len(text):
+            if common is None:
+                common, at = [], e
+                while at is not None:
+                    common.append(at)
+                    at = at.up
+            else:
+                above, at = set(), e
+                while at is not None:
+                    above.add(id(at))
+                    at = at.up
+                common = [x for x in common if id(x) in above]
             share, up = 1.0, e.up or e
             for _ in range(2):
                 row = weight.setdefault(id(up), [0.0, up])
@@ -217,12 +229,15 @@ def extract(page: str | None) -> str:
             root = e
             break
         e = e.up
+    def within(e: _Element | None, top: _Element) -> bool:
+        while e is not None and e is not top:
+            e = e.up
+        return e is top
+
     out = []
     for e, text, links in found:
-        inside = e
-        while inside is not None and inside is not root:
-            inside = inside.up
-        if inside is root and (2 * links <= len(text) or value[e.path] >= least and links < len(text)):
+        passes, plain = value[e.path] >= least, 2 * links <= len(text)
+        if passes and plain or within(e, root) and (plain or passes and links < len(text)) or plain and e.tag in _HEADINGS and within(e, common[0]):
             out.append(text)
     return "\n".join(out)
 

@@ -275,6 +275,15 @@ def test_url_ratios_are_those_of_the_grams_asked_for(spark):
         assert abs(got[k] - sum(one(s[i - 4 : i + 1]) for i in range(4, len(s))) / (len(s) - 4)) < 6e-4
 
 
+def test_html_blocks_on_a_passing_path_all_count():
+    long_, short = "Some words, and more. " * 30, "Other words, and more. " * 13
+    page = f"<body><div><section><p>{long_}</p></section><section><h2>Head</h2><p>{short}</p></section></div><div><i>x</i></div></body>"
+    assert html_extract.extract(page) == f"{long_.strip()}\nHead\n{short.strip()}"
+    rows = [f"{k} {'Words, in a row. ' * (5 + 3 * k)}".strip() for k in range(5)]
+    page = "<body>" + "".join(f"<div class=row><div class=col><p>{t}</p></div></div>" for t in rows) + "</body>"
+    assert html_extract.extract(page) == "\n".join(rows)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<article><p>a, b.</p></article>", "x"), (2, None, "x"), (2, None, "x")], "page_id long, html string, text string")
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.main_text(df).collect()) == Counter([(1, "a, b.", 5), (2, "", 0), (2, "", 0)])
