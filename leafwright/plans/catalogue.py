@@ -231,10 +231,15 @@ SELECT book, chapter, count(*) FILTER ((fits OR big) AND NOT dedup) AS blocks_re
 @_query(_READ.replace("@BUDGET", "200").replace("@MORE", ", md5(coalesce(string_agg(piece, chr(10) || chr(10) ORDER BY block) FILTER (fits AND NOT dedup), '')) AS digest") + " HAVING NOT max(big)")
 def read_budget(spark: SparkSession, d: str) -> DataFrame:
     rows = query.read(_blocks(spark, d), 200)
-    # chapters whose first block alone is over the budget are in read_truncated_first
+    # chapters whose first block alone is over the budget are in read_budget_all
     return rows.where("NOT cut_first").select("book", "chapter", "blocks_read", "truncated", "next_anchor", F.md5("text").alias("digest"))
 
 
+@_query()
+def read_budget_all(spark: SparkSession, d: str) -> DataFrame:
+    return query.read(_blocks(spark, d), 200).select("book", "chapter", "blocks_read", "truncated", "cut_first", "next_anchor", F.md5("text").alias("digest"))
+
+
 @_query(_READ.replace("@BUDGET", "20").replace("@MORE", ""))
 def read_truncated_first(spark: SparkSession, d: str) -> DataFrame:
     return query.read(_blocks(spark, d), 20).select("book", "chapter", "blocks_read", "truncated", "next_anchor")
