@@ -2,42 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.functions import text as T
 from leafwright.operators.packing import split_pieces
 
-RESCUE_TOKENS, PART_TOKENS, MIN_MARKERS, BLOCK_TOKENS = 20_000, 12_000, 3, 800
+RESCUE_TOKENS, PART_TOKENS, MIN_MARKERS, BLOCK_TOKENS, RAW_TOKENS = 20_000, 12_000, 3, 800, 1000
+_ORDER = "OVER (PARTITION BY book, chapter ORDER BY block)"
+_ENDS = "^[\\s\u3000\u00a0]+|[\\s\u3000\u00a0]+$"
+
+
+def _markers(lines: DataFrame) -> Column:
+    """Title lines, and those inside large blocks whose column ``raw`` keeps the lines; a repeated heading (``dedup``) counts nothing."""
+    own = T.title_of(F.col("text")).isNotNull()
+    n = own.cast("long")
+    if "raw" in lines.columns:
+        inside = F.size(F.filter(F.split("raw", "\n"), lambda x: T.title_of(x).isNotNull()))
+        large = F.col("raw").isNotNull() & (T.count_tokens(F.col("text")) >= RAW_TOKENS)
+        n = F.when(own, F.lit(1)).when(large, inside).otherwise(F.lit(0)).cast("long")
+    return F.sum(F.when(F.col("dedup"), F.lit(0).cast("long")).otherwise(n) if "dedup" in lines.columns else n)
+
+
+def _followed(lines: DataFrame) -> DataFrame:
+    """``t`` (the title that a line is), ``next`` (text of the next line that is neither blank nor a rule) and ``then`` (of the next not blank) added."""
+    filled = F.regexp_replace("text", _ENDS, "") != ""
+    rows = lines.withColumn("t", T.title_of(F.col("text"))).withColumns({"_f": F.when(filled, F.col("text")), "_n": F.when(filled & ~T.is_rule(F.col("text")), F.col("text"))})
+    return rows.withColumns({"next": F.expr(f"lead(_n) IGNORE NULLS {_ORDER}"), "then": F.expr(f"lead(_f) IGNORE NULLS {_ORDER}")})
+
+
+def _joined() -> Column:
+    return F.concat("t", F.lit(" "), F.regexp_replace("next", _ENDS, ""))
 
 
 def count_markers(lines: DataFrame) -> DataFrame:
-    """``markers``: title lines of each chapter."""
-    return lines.groupBy("book", "chapter").agg(F.count_if(T.title_of(F.col("text")).isNotNull()).alias("markers"))
+    """``markers``: title lines of each chapter, those inside large raw blocks included."""
+    return lines.groupBy("book", "chapter").agg(_markers(lines).alias("markers"))
 
 
 def predicate(lines: DataFrame, more_than: int = RESCUE_TOKENS, per_part: int = PART_TOKENS, least: int = MIN_MARKERS) -> DataFrame:
     """``rescued``: is the chapter long, with enough title lines, and parts short enough?"""
-    out = lines.groupBy("book", "chapter").agg(F.count_if(T.title_of(F.col("text")).isNotNull()).alias("markers"), F.sum(T.count_tokens(F.col("text"))).alias("tokens"))
+    out = lines.groupBy("book", "chapter").agg(_markers(lines).alias("markers"), F.sum(T.count_tokens(F.col("text"))).alias("tokens"))
     return out.withColumn("rescued", (F.col("tokens") > more_than) & (F.col("markers") >= least) & (F.col("tokens") / (F.col("markers") + 1) <= per_part))
 
 
 def cut_at_titles(lines: DataFrame) -> DataFrame:
-    """``part, title, body``: each title line opens a part; rule lines go; part 0 is what stands before the first."""
+    """``part, title, body``: each title line opens a part; rule lines go; part 0 is what stands before the first.
+
+    A short title takes in the next line, blank and rule lines aside, if that can go on a title.
+    """
     order = Window.partitionBy("book", "chapter").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("t", T.title_of(F.col("text"))).withColumn("part", F.sum(F.col("t").isNotNull().cast("long")).over(order))
-    said = F.col("t").isNull() & ~T.is_rule(F.col("text"))
+    rows = _followed(lines).withColumn("part", F.sum(F.col("t").isNotNull().cast("long")).over(order))
+    joins = F.coalesce((F.length("t") < T.SHORT_TITLE) & T.continues_title(F.col("next")), F.lit(False))
+    rows = rows.withColumn("_j", F.when(F.col("_n").isNotNull(), joins)).withColumn("_taken", F.coalesce(F.expr(f"lag(_j) IGNORE NULLS {_ORDER}"), F.lit(False)) & F.col("_n").isNotNull())
+    rows = rows.withColumn("t", F.when(F.col("_j"), _joined()).otherwise(F.col("t")))
+    said = F.col("t").isNull() & ~T.is_rule(F.col("text")) & ~F.col("_taken")
     out = rows.groupBy("book", "chapter", "part").agg(F.max("t").alias("title"), F.array_sort(F.collect_list(F.when(said, F.struct("block", "text")))).alias("b"))
     return out.select("book", "chapter", "part", "title", T.collapse(F.array_join(F.transform("b", lambda x: x["text"]), " ")).alias("body"))
 
 
 def repair_titles(lines: DataFrame, shorter_than: int = T.SHORT_TITLE) -> DataFrame:
-    """Title lines; a short one followed by a rule and a line that can go on a title is joined with that line."""
-    order = Window.partitionBy("book", "chapter").orderBy("block")
-    rows = lines.withColumn("t", T.title_of(F.col("text"))).where(~T.is_rule(F.col("text")) | F.lit(True))
-    rows = rows.withColumns({"n1": F.lead("text", 1).over(order), "n2": F.lead("text", 2).over(order)})
-    joins = (F.length("t") < shorter_than) & T.is_rule(F.col("n1")) & T.continues_title(F.col("n2"))
-    return rows.where("t IS NOT NULL").withColumn("title", F.when(joins, F.concat("t", F.lit(" "), F.trim("n2"))).otherwise(F.col("t")))
+    """Title lines; a short one followed by rules and a line that can go on a title is joined with that line."""
+    rows = _followed(lines)
+    joins = (F.length("t") < shorter_than) & T.is_rule(F.col("then")) & T.continues_title(F.col("next"))
+    return rows.where("t IS NOT NULL").withColumn("title", F.when(joins, _joined()).otherwise(F.col("t"))).drop("_f", "_n", "next", "then")
 
 
 def split_blocks(blocks: DataFrame, max_tokens: int = BLOCK_TOKENS) -> DataFrame:
