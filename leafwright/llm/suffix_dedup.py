@@ -1,4 +1,4 @@
-"""Suffix-array dedup: bytes covered by a string of 50 bytes that also starts in an earlier document.
+"""Substring dedup by content-sampled anchors: bytes covered by a string of 50 bytes that also starts in an earlier document.
 
 Positions are sampled by content: in each window of 50 bytes the k-gram with the smallest hash is its anchor,
 so two equal windows have equal anchors. The *context* of an anchor is all that such windows can cover.
@@ -6,10 +6,9 @@ so two equal windows have equal anchors. The *context* of an anchor is all that
 1. Each blob of documents sends its distinct (anchor, context, first document) to hash buckets, as packed hashes.
 2. A bucket answers per context: an earlier document has the same context (all of it goes), or nobody does, or others
    have the anchor with another context that agrees on one side far enough to share a window.
-3. Only contexts of the last kind are sent as bytes. Their bucket sorts the suffixes at all window starts by
-   (string, document), which is the suffix array with its equal runs in document order; the longest
-   previous factor of a suffix reaches 50 bytes exactly if the previous smaller document in suffix order
-   is in its run (behind it, the run has none that is smaller), so the first copy of each string stays.
+3. Only contexts of the last kind are sent as bytes. Their bucket sorts the 50-byte strings at all window starts by
+   (string, document). No longest previous factors are computed: a string stands in an earlier document exactly if the
+   head of its run of equal strings is of a smaller document, so the first copy of each string stays.
 4. Each blob removes the covered bytes of its documents.
 
 Texts are read whole; a passage that a third of the documents hold is one context, sent once per blob.
