@@ -5,7 +5,8 @@ text outside links and the punctuation are added up and divided by the count of
 neighbouring paths in page order, multiplied, and held against a share of the page's highest value. Blocks on paths
 that pass are content nodes and all belong to the text, unless they are mostly links. So do the other blocks of the element
 that holds most of their weight, and headings inside the lowest element that holds all of them. Menus, headers, footers, sidebars, notices, adverts,
-forms and comments, known by element, role, class or id, take no part from the start.
+forms and comments, known by element, role, class or id, take no part from the start. Inside an article a name decides only
+if it says nothing else (``share-buttons``, but not ``share-price``); text under other names in doubt must pass by its path.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：،؛؟।]")
@@ -33,54 +35,104 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _FENCES = frozenset("ul ol dl table article section div aside main nav form blockquote body html".split())
 _APART = frozenset("nav footer aside form head button dialog menu input title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-_HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promoted promotion comment comments commentlist disqus respond "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription sidebar sidebars nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs footer masthead header share sharing social related recommended recommendations widget widgets login signin signup pagination pager toolbar copyright "
-    "disclaimer legal skip tags taglist topbar".split()
+# Words of class and id names. The first kind is never part of an article, the second may be inside one if the
+# name has a word that is of no kind here.
+_STRONG = frozenset(
+    "advert adverts advertisement advertisements advertising adsense comment comments commentlist disqus respond reply replies gdpr newsletter sidebar sidebars nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs footer masthead login signin signup pagination pager toolbar topbar taglist modal popup overlay".split()
 )
+_WEAK = frozenset(
+    "ad ads adv banner sponsor sponsored sponsors promo promoted promotion cookie cookies consent notice notices notification alert subscribe subscription share sharing social related recommended "
+    "recommendations widget widgets copyright disclaimer legal skip tags header".split()
+)
+_GENERIC = frozenset("area articles bar block bottom box button buttons col column container group icon icons inner item items label left link links list outer panel posts right row site slot stories top unit wrap wrapper".split())
 _EXEMPT = frozenset("html body main".split())
 PATH_SHARE = 0.1
 
 
 class _Element:
-    __slots__ = ("apart", "holder", "name", "path", "tag", "up")
-
-    def __init__(self, tag: str, up: _Element | None, apart: bool) -> None:
-        self.tag, self.up, self.apart = tag, up, apart
-        inline = tag in _INLINE
-        self.holder = up.holder if inline and up is not None else self
-        self.path = up.path if inline and up is not None else ((up.path + "/" if up is not None else "") + tag)
-
-
-def _apart(tag: str, attrs: str, up: _Element) -> bool:
-    """Does this element start something that is no part of an article?"""
-    if tag in _APART:
-        return True
-    if tag == "header":
-        at = up
-        while at is not None:
-            if at.tag in ("article", "main"):
-                return False
-            at = at.up
-        return True
+    """An element with what is inherited from above, so that nothing has to look up for it; ``first`` to ``last`` are the numbers of all inside."""
+
+    __slots__ = ("apart", "doubt", "first", "holder", "inline", "inside", "last", "link", "path", "tag", "up")
+
+    def __init__(self, tag: str, up: _Element | None, first: int, paths: dict[tuple[int, str], int], apart: bool = False, doubt: bool = False) -> None:
+        self.tag, self.up, self.apart, self.doubt, self.first, self.last = tag, up, apart, doubt, first, first
+        self.inside = up is not None and up.inside or tag in ("article", "main")
+        if tag in _INLINE and up is not None:
+            self.holder, self.path, self.inline, self.link = up.holder, up.path, None, up.link or tag == "a"
+        else:
+            self.holder, self.inline, self.link = self, {}, False
+            self.path = paths.setdefault((up.path if up is not None else -1, tag), len(paths))
+
+    def holds(self, other: _Element) -> bool:
+        return self.first <= other.first <= self.last
+
+
+def _judge(tag: str, attrs: str, up: _Element) -> tuple[bool, bool]:
+    """(apart, doubt): does this element start something that is no part of an article, or that may be none?"""
+    if tag in _APART or tag == "header" and not up.inside:
+        return True, False
     if not attrs or tag in _EXEMPT:
-        return False
+        return False, False
+    doubt = False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            words = re.split(r"[\s_\-:]+", value)
-            hit = _HINTS.intersection(words)
-            if hit and not (tag == "article" and not hit & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"}):
-                return True
+            for one in value.split():
+                words = set(re.split(r"[_\-:]+", one)) - {""}
+                strong, weak = words & _STRONG, words & _WEAK
+                if up.inside:
+                    weak -= {"header"}
+                if strong or weak and not (up.inside or tag == "article") or weak and words <= _WEAK | _GENERIC:
+                    if tag != "article" or strong & {"comment", "comments", "reply", "advert", "advertisement"} or weak & {"ad", "ads", "sponsored", "promo", "related"}:
+                        return True, False
+                doubt = doubt or bool(weak)
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, False
+    return False, doubt
+
+
+def _marks(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(first, last, name, is an end tag, attributes) of all markup in page order; comments and declarations have no name.
+
+    One scan forwards: no place is looked at more often than a fixed number of times, whatever is left open.
+    """
+    pos, quotes = 0, True
+    while (at := page.find("<", pos)) >= 0:
+        pos = at + 1
+        if page.startswith(("<!", "<?"), at):
+            shut = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(shut, at + 2)
+            pos = len(page) if end < 0 else end + len(shut)
+            yield at, pos, None, False, ""
+            continue
+        is_end = page.startswith("/", pos)
+        name = _NAME.match(page, pos + is_end)
+        if name is None:
+            continue
+        end = name.end()
+        while quotes:
+            q = _QUOTE_OR_END.search(page, end)
+            if q is not None and q[1] is None:
+                end = q.end()
+                break
+            close = -1 if q is None else page.find(q[1], q.end())
+            quotes = close >= 0  # a quote that nothing ends: from here on quotes hide nothing
+            end = close + 1
+        else:
+            end = page.find(">", name.end()) + 1
+        if not end:  # a tag that nothing ends takes the rest of the page
+            yield at, len(page), None, False, ""
+            return
+        pos = end
+        yield at, end, name[0].lower(), is_end, page[name.end() : end - 1]
 
 
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """The page's blocks of text outside of what is apart: (element, text, characters inside links)."""
-    at = _Element("", None, False)
+    paths: dict[tuple[int, str], int] = {}
+    at = _Element("", None, 0, paths)
+    made, opened = [at], {}
     out: list[tuple[_Element, str, int]] = []
     pieces: list[str] = []
     owner: _Element | None = None
@@ -105,44 +157,47 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
                 return
             owner = at.holder
         pieces.append(text)
-        e = at
-        while e.tag in _INLINE:
-            if e.tag == "a":
-                links += len(text.strip())
-                break
-            e = e.up
+        if at.link:
+            links += len(text.strip())
 
-    def close(tag: str) -> None:
+    def leave(top: _Element) -> None:
+        """Closes all elements below ``top``; each is closed once."""
         nonlocal at
-        e = at
-        while e.up is not None and e.tag != tag:
-            e = e.up
-        if e.up is not None:
-            at = e.up
-
-    while (m := _TOKEN.search(page, pos)) is not None:
-        if m.start() > pos:
-            add(page[pos : m.start()])
-        pos = m.end()
-        tag = m[2]
+        while at is not top:
+            (opened if at.inline is not None else at.holder.inline)[at.tag] -= 1
+            at = at.up
+
+    def find(tag: str, fences: frozenset = frozenset()) -> _Element | None:
+        """The lowest open element of that name below the next fence. What is found is closed, so looking up pays for itself."""
+        e = at if opened.get(tag, 0) else None
+        while e is not None and e.tag != tag:
+            e = None if e.up is None or e.tag in fences else e.up
+        return e
+
+    skip = 0
+    for first, last, tag, is_end, attrs in _marks(page):
+        if first < skip:
+            continue
+        if first > max(pos, skip):
+            add(page[max(pos, skip) : first])
+        pos = last
         if tag is None:
             continue
-        tag, end = tag.lower(), bool(m[1])
-        if end:
+        if is_end:
             if tag in _INLINE:
-                e = at
-                while e.tag in _INLINE and e.tag != tag:
-                    e = e.up
-                if e.tag == tag:
-                    at = e.up
+                if at.holder.inline.get(tag, 0):
+                    e = at
+                    while e.tag != tag:
+                        e = e.up
+                    leave(e.up)
             elif tag not in _VOID:
                 flush()
-                close(tag)
+                if (e := find(tag)) is not None:
+                    leave(e.up)
             continue
         if tag in _RAW:
-            if not m[3].rstrip().endswith("/"):
-                shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-                pos = shut.end() if shut else len(page)
+            if not attrs.rstrip().endswith("/"):
+                skip = _after_raw(page, tag, pos)
             continue
         if tag in _VOID:
             if tag == "br" and pieces:
@@ -152,30 +207,38 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         if tag not in _INLINE:
             flush()
-            while at.tag in _INLINE:
-                at = at.up
-            if tag in _CLOSES_P:
-                e = at
-                while e.up is not None and e.tag != "p" and e.tag not in _FENCES:
-                    e = e.up
-                if e.tag == "p":
-                    at = e.up
+            leave(at.holder)
+            if tag in _CLOSES_P and (e := find("p", _FENCES)) is not None:
+                leave(e.up)
             for other in (tag,) if tag in _HEADINGS and at.tag in _HEADINGS else _ENDS.get(tag, ()):
-                e = at
-                while e.up is not None and e.tag != other and e.tag not in _FENCES:
-                    e = e.up
-                if e.tag == other:
-                    at = e.up
+                if (e := find(other, _FENCES)) is not None:
+                    leave(e.up)
             if tag == "body" and at.tag == "head":
-                at = at.up
-        at = _Element(tag, at, at.apart or _apart(tag, m[3], at))
-    if pos < len(page):
-        rest = page[pos:]
-        add(rest if (cut := rest.find("<")) < 0 or not re.match(r"</?[a-zA-Z]", rest[cut:]) else rest[:cut])
+                leave(at.up)
+        apart, doubt = (True, False) if at.apart else _judge(tag, attrs, at)
+        at = _Element(tag, at, len(made), paths, apart, doubt or at.doubt)
+        made.append(at)
+        count = opened if at.inline is not None else at.holder.inline
+        count[tag] = count.get(tag, 0) + 1
+    if max(pos, skip) < len(page):
+        add(page[max(pos, skip) :])
     flush()
+    for e in reversed(made[1:]):
+        e.up.last = max(e.up.last, e.last)
     return out
 
 
+def _after_raw(page: str, tag: str, pos: int) -> int:
+    """Where an element ends whose content is no markup."""
+    low, size = "</" + tag, len(tag) + 2
+    while (at := page.find("</", pos)) >= 0:
+        if page[at : at + size].lower() == low and not page[at + size : at + size + 1].isalnum():
+            end = page.find(">", at)
+            return len(page) if end < 0 else end + 1
+        pos = at + 2
+    return len(page)
+
+
 def _smooth(values: list[float]) -> list[float]:
     last = len(values) - 1
     return [0.8 * v + 0.1 * values[max(i - 1, 0)] + 0.1 * values[min(i + 1, last)] for i, v in enumerate(values)]
@@ -188,7 +251,7 @@ def extract(page: str | None) -> str:
     found = blocks(page)
     if not found:
         return ""
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for e, text, links in found:
         row = paths.setdefault(e.path, [0, 0, 0])
         row[0] += 1
@@ -199,29 +262,18 @@ def extract(page: str | None) -> str:
     value = dict(zip(paths, (a * b for a, b in zip(length, points, strict=True)), strict=True))
     least = PATH_SHARE * max(value.values())
     weight: dict[int, list] = {}
-    common: list[_Element] | None = None  # the elements that hold all content nodes, lowest first
+    content = [e for e, text, links in found if value[e.path] >= least and 2 * links <= len(text)]
+    if not content:
+        return ""
     for e, text, links in found:
         if value[e.path] >= least and 2 * links <= len(text):
-            if common is None:
-                common, at = [], e
-                while at is not None:
-                    common.append(at)
-                    at = at.up
-            else:
-                above, at = set(), e
-                while at is not None:
-                    above.add(id(at))
-                    at = at.up
-                common = [x for x in common if id(x) in above]
             share, up = 1.0, e.up or e
             for _ in range(2):
-                row = weight.setdefault(id(up), [0.0, up])
+                row = weight.setdefault(up.first, [0.0, up])
                 row[0] += share * (len(text) - links)
                 share, up = share / 2, up.up
                 if up is None:
                     break
-    if not weight:
-        return ""
     root = max(weight.values(), key=lambda r: r[0])[1]
     e = root
     while e is not None:
@@ -229,15 +281,15 @@ def extract(page: str | None) -> str:
             root = e
             break
         e = e.up
-    def within(e: _Element | None, top: _Element) -> bool:
-        while e is not None and e is not top:
-            e = e.up
-        return e is top
-
+    common = min(content, key=lambda e: e.first)  # the lowest element that holds all content nodes
+    end = max(content, key=lambda e: e.first)
+    while not common.holds(end):
+        common = common.up
     out = []
     for e, text, links in found:
-        passes, plain = value[e.path] >= least, 2 * links <= len(text)
-        if passes and plain or within(e, root) and (plain or passes and links < len(text)) or plain and e.tag in _HEADINGS and within(e, common[0]):
+        passes, plain, heading = value[e.path] >= least, 2 * links <= len(text), e.tag in _HEADINGS
+        inside = root.holds(e) and (heading or not e.doubt)
+        if passes and plain or inside and (plain or passes and links < len(text)) or plain and heading and common.holds(e):
             out.append(text)
     return "\n".join(out)
 
