@@ -6,9 +6,9 @@ so two equal windows have equal anchors. The *context* of an anchor is all that
 1. Each blob of documents sends its distinct (anchor, context, first document) to hash buckets, as packed hashes.
 2. A bucket answers per context: an earlier document has the same context (all of it goes), or nobody does, or others
    have the anchor with another context that agrees on one side far enough to share a window.
-3. Only contexts of the last kind are sent as bytes. Their bucket sorts the 50-byte strings at all window starts by
-   (string, document). No longest previous factors are computed: a string stands in an earlier document exactly if the
-   head of its run of equal strings is of a smaller document, so the first copy of each string stays.
+3. Only contexts of the last kind are sent as bytes. Their bucket sorts the suffixes at all window starts and takes
+   longest previous factors, by the previous and next smaller document in suffix order: a string of 50 bytes stands in an
+   earlier document exactly if its factor is that long, so the first copy of each string stays.
 4. Each blob removes the covered bytes of its documents.
 
 Texts are read whole; a passage that a third of the documents hold is one context, sent once per blob.
@@ -193,11 +193,31 @@ def _ship(window: int, buckets: int):
     return ship
 
 
+def previous_factors(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in sorted order: the longest prefix that each shares with one of a smaller document.
+
+    ``lcp[i]`` is what suffix i shares with the one before it. The nearest suffix of a smaller document on either side
+    shares most; pointers to it jump over what lies between, all at once, and carry the least ``lcp`` on the way.
+    """
+    best = np.zeros(len(docs), np.int64)
+    for turned in (False, True):
+        d = docs[::-1] if turned else docs
+        low = (np.append(lcp[1:], 0)[::-1] if turned else lcp).copy()
+        to = np.arange(len(d)) - 1
+        left = np.arange(len(d))
+        while len(left := left[(to[left] >= 0) & (low[left] > 0) & (d[to[left]] >= d[left])]):
+            j = to[left]
+            low[left], to[left] = np.minimum(low[left], low[j]), to[j]
+        low[to < 0] = 0
+        best = np.maximum(best, low[::-1] if turned else low)
+    return best
+
+
 def earlier_copies(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Of all strings of ``window`` bytes in some pieces of text, which also stand in an earlier document's piece.
 
-    Returns (piece, place in the piece). Suffixes are sorted by (string, document); the head of a run of equal
-    strings is the previous smaller document of all that come later in the run.
+    Returns (piece, place in the piece). Suffixes are sorted by their first ``window`` bytes and their longest previous
+    factors taken, up to that length: a string stands in an earlier document exactly if its factor is that long.
     """
     ends = np.cumsum(lengths)
     each = lengths - window + 1
@@ -206,19 +226,16 @@ def earlier_copies(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, win
     start = (ends - lengths)[piece] + place
     padded = np.concatenate([texts, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8).view(">u8")[:, 0] if len(texts) else np.zeros(0, np.uint64)
-    columns = []
-    for k in range(0, window, 8):
-        w = words[start + min(k, window - 8)].astype(np.uint64)
-        columns.append(w)
-    order = np.lexsort((docs[piece], *columns[::-1]))
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-    for w in columns:
-        new[1:] |= w[order][1:] != w[order][:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    d = docs[piece][order]
-    late = order[d[head] < d]
+    at = [min(k, window - 8) for k in range(0, window, 8)]
+    columns = [words[start + k].astype(np.uint64) for k in at]
+    order = np.lexsort(columns[::-1])
+    lcp = np.full(len(order), window, np.int64)
+    lcp[:1] = 0
+    for k, w in list(zip(at, columns, strict=True))[::-1]:
+        differ = w[order][1:] ^ w[order][:-1]
+        some = np.flatnonzero(differ)
+        lcp[1 + some] = k + (differ[some].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
+    late = order[previous_factors(docs[piece][order], lcp) >= window]
     return piece[late], place[late]
 
 
