@@ -56,6 +56,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the first place of each, and each value's number: ``np.unique`` by a hash table."""
+    coded = pa.array(values).dictionary_encode()
+    code, kinds = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    first = np.empty(len(kinds), np.int64)
+    first[code[::-1]] = np.arange(len(values) - 1, -1, -1)
+    order = np.argsort(kinds, kind="stable")
+    rank = np.empty(len(kinds), np.int64)
+    rank[order] = np.arange(len(kinds))
+    return kinds[order], first[order], rank[code]
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -121,6 +133,47 @@ def spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> t
     return starts, ends, per
 
 
+def _kinds() -> np.ndarray:
+    """Per byte: 0 white space, 1 ASCII letter, 2 digit, 3 apostrophe, 4 other ASCII, 5 not ASCII."""
+    kind = np.full(256, 4, np.uint8)
+    kind[[i for i in range(128) if chr(i).isalpha()]] = 1
+    kind[48:58] = 2
+    kind[39] = 3
+    kind[128:] = 5
+    kind[_SPACE] = 0
+    return kind
+
+
+_KIND = _kinds()
+# [kind before, kind]: does a token of a word pre-tokeniser always end between the two?
+_PARTS = np.zeros((6, 6), bool)
+_PARTS[1:, 2] = True
+_PARTS[2, [1, 3, 4]] = True
+_PARTS[1, 4] = _PARTS[4, 1] = True
+_BEGINS = _PARTS | (np.arange(6)[:, None] == 0) & (np.arange(6) > 0)
+_BEGINS[:, 0] = False
+_BEGINS = _BEGINS.ravel()
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``spans``, with words cut where letters meet signs and at each digit; apostrophes stay with what they touch."""
+    kind = _KIND[raw]
+    before = np.zeros(len(raw), np.uint8)
+    before[1:] = kind[:-1]
+    cuts = offsets[1:-1]
+    cuts = cuts[cuts < len(raw)]
+    before[cuts] = 0
+    begins = _BEGINS[before * np.uint8(6) + kind]
+    # a piece ends where the next begins, or at the first white space or text end behind it
+    edge = begins.copy()
+    edge[1:] |= (kind[1:] == 0) & (kind[:-1] > 0)
+    edge[cuts] = True
+    at = np.flatnonzero(edge)
+    own = np.flatnonzero(begins[at])
+    starts, ends = at[own], np.append(at, len(raw))[own + 1]
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word with A-Z lower-cased, in order, and the count of words of each text."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -133,19 +186,22 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def vocabulary(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of some texts: hash, start, length (in the bytes); for all words their number among these, and their text."""
+def vocabulary(raw: np.ndarray, offsets: np.ndarray, lower: bool, cut=spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of some texts: hash, start, length (in the bytes); for all words their number among these, and their text.
+
+    ``cut`` finds the words: ``spans`` or ``pieces``.
+    """
     hashes, starts, lengths, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in slabs(offsets):
         part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        s, e, per = spans(part, off)
+        s, e, per = cut(part, off)
         h, (_, inv) = prefix(part, lower), powers(len(part) + 1)
         hashes.append(mix((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64) * _M2))
         starts.append(s + offsets[i])
         lengths.append(e - s)
         owner.append(np.repeat(np.arange(i, j), per))
     h, s, n, o = (np.concatenate(x) for x in (hashes, starts, lengths, owner))
-    uniq, first, code = np.unique(h, return_index=True, return_inverse=True)
+    uniq, first, code = unique(h)
     return uniq, s[first], n[first], code, o
 
 
