@@ -7,11 +7,13 @@ a mark and comes back exactly.
 Windows are spans of whole turns. Prefix sums of turn tokens choose them: with half the room as stride,
 the stride in which a turn starts is its span, and a turn longer than a stride is a span of its own; so
 no span is over its room unless a single turn is. Each window starts with the conversation's system
-turns, goes on with up to ``history`` earlier turns of ``history_tokens`` at most, then its own turns.
+turn (its first one), goes on with up to ``history`` earlier turns of ``history_tokens`` at most, then its own turns.
 Assistant texts among its own turns are under the loss mask; repeated ones aren't.
 
-Prefix sums are taken in two levels, over blocks of turn numbers, so a conversation of any
-length is never sorted in one task. Only DataFrame functions are used.
+Turns are dealt by conversation and block of 1024 turn numbers. A block hands on a row of sums, its first turns' tokens and the
+system turn, and from these and its neighbours in its block each turn knows which windows it belongs to; so the texts are
+shuffled once by block and once by window, nothing is joined but the block rows, and a conversation
+of any length is never sorted in one task. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 # The control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _TAILS = r"s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>"
-BLOCK = 1024
+BLOCK_BITS = 10
+_NO_TURN = -(1 << 62)
 
 
 def escape(text: Column) -> Column:
@@ -38,46 +41,65 @@ def turn_tokens(text: Column) -> Column:
     return (F.ceil(F.length(text) / 3) + 4).cast("long")
 
 
-def _numbered(turns: DataFrame) -> DataFrame:
-    """Adds ``idx`` (0, 1, ... in order of turn, role, text) and ``before`` (tokens of the turns before it)."""
-    rows = turns.withColumn("_block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    sums = rows.groupBy("conv_id", "_block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
-    upto = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "_block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_n"), F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("_t"))
-    order = Window.partitionBy("conv_id", "_block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumns({"_rn": F.row_number().over(order) - 1, "_run": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")})
-    same = F.expr("a.conv_id <=> b.conv_id AND a._block = b._block")
-    rows = rows.alias("a").join(sums.alias("b"), same).select("a.*", "b._n", "b._t")
-    return rows.withColumns({"idx": (F.col("_n") + F.col("_rn")).cast("long"), "before": (F.col("_t") + F.col("_run")).cast("long")}).drop("_block", "_rn", "_run", "_n", "_t")
+def _placed(turns: DataFrame, history: int) -> DataFrame:
+    """Adds ``idx`` (0, 1, ... in order of turn, role, text), ``before`` (tokens of the turns before it), ``prior`` (tokens of the
+    turn before), ``following`` (of the next ``history`` turns) and ``lead`` (the conversation's system turn)."""
+    rows = turns.withColumns({"_key": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "_nul": F.col("conv_id").isNull(), "_block": F.coalesce(F.shiftright("turn", BLOCK_BITS), F.lit(_NO_TURN))})
+    keys = ["_key", "_nul", "_block"]
+    order = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    rows = rows.withColumns({
+        "_rn": F.row_number().over(order) - 1, "_run": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"),
+        "_prior": F.lag("tokens").over(order), "_next": F.collect_list("tokens").over(order.rowsBetween(1, max(history, 1))),
+    })
+    first = F.col("_rn") == 0
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum("tokens").alias("t"), F.max_by("tokens", "_rn").alias("last"), F.min_by(F.concat(F.array("tokens"), F.slice("_next", 1, max(history - 1, 0)) if history > 1 else F.array().cast("array<bigint>")), "_rn").alias("head"),
+        F.max(F.when(first & (F.col("role") == "system"), F.struct("role", "text"))).alias("lead"),
+    )
+    along = Window.partitionBy("_key", "_nul").orderBy("_block")
+    upto = along.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.array().cast("array<bigint>")
+    # each block has a turn at least, so the next ``history`` blocks' heads are enough
+    ahead = F.concat(*(F.coalesce(F.lead("head", k).over(along), none) for k in range(1, max(history, 1) + 1)))
+    sums = sums.select(*keys, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_n"), F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("_t"), F.lag("last").over(along).alias("_last"), ahead.alias("_ahead"), F.first("lead").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"))
+    rows = rows.join(sums, keys)
+    return rows.select(
+        "conv_id", "role", "text", "tokens", "lead", (F.col("_n") + F.col("_rn")).cast("long").alias("idx"), (F.col("_t") + F.col("_run")).cast("long").alias("before"),
+        F.coalesce("_prior", "_last").alias("prior"), F.slice(F.concat("_next", "_ahead"), 1, history).alias("following") if history else none.alias("following"),
+    )
 
 
 def windows(conversations: DataFrame, budget: int = 2048, history: int = 4, history_tokens: int = 256, system_tokens: int = 256) -> DataFrame:
-    """One row per window: ``conv_id, span, formatted, turns, loss_chars``.
+    """One row per window: ``conv_id, span, formatted, turns``; ``span`` rises along a conversation.
 
     ``turns`` lists the window's turns in order: ``idx``, ``own`` (false if repeated), ``loss`` (under the mask),
     and where role and text stand in ``formatted`` (``role_at, role_len, text_at, text_len``, code points from 0).
     A null role or text counts as empty. Turns go by turn number (null first), then role and text, so equal rows
-    stay apart and come in a fixed order. Other columns are ignored. A null ``conv_id`` is a conversation too.
-    Empty input gives no rows. ``history_tokens`` and ``system_tokens`` are set aside of the budget; a longer
+    stay apart and come in a fixed order. Other columns are ignored, whatever their names. A null ``conv_id`` is a
+    conversation too. Empty input gives no rows. ``history_tokens`` and ``system_tokens`` are set aside of the budget; a longer
     system turn, or a turn longer than the budget, makes a longer window, as nothing is cut.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = _numbered(rows.withColumn("tokens", turn_tokens(F.col("text"))))
-    rows = rows.withColumn("system", (F.col("role") == "system") & (F.col("idx") == 0))
+    rows = _placed(rows.withColumn("tokens", turn_tokens(F.col("text"))), history)
     stride = max(1, (budget - history_tokens - system_tokens) // 2)
-    big = F.col("tokens") > stride
-    # a span's number: the stride that a turn starts in; a long turn is alone, and as it is longer than a
-    # stride, what stands before it and behind it never shares a span
-    stride_of = F.col("before") - F.pmod("before", F.lit(stride))
-    rows = rows.withColumn("span", F.when(big, 2 * F.col("before") + 1).otherwise(2 * stride_of))
-    starts = rows.groupBy("conv_id", "span").agg(F.min("idx").alias("first"), F.min("before").alias("begin"))
-    reach = F.explode(F.sequence(F.lit(1), F.lit(history))) if history > 0 else F.explode(F.array().cast("array<int>"))
-    past = starts.where("first > 0").select("conv_id", "span", "begin", "first", reach.alias("back")).where("first >= back").select("conv_id", "span", "begin", (F.col("first") - F.col("back")).alias("idx"))
-    body = ["idx", "role", "text", "tokens", "before", "system"]
-    old = rows.alias("a").join(past.alias("b"), F.expr("a.conv_id <=> b.conv_id AND a.idx = b.idx")).where(f"NOT a.system AND b.begin - a.before <= {int(history_tokens)}").select("a.conv_id", "b.span", *[f"a.{c}" for c in body], F.lit(False).alias("own"))
-    lead = rows.where("system").alias("a").join(starts.alias("b"), F.expr("a.conv_id <=> b.conv_id AND a.idx < b.first")).select("a.conv_id", "b.span", *[f"a.{c}" for c in body], F.lit(False).alias("own"))
-    new = rows.select("conv_id", "span", *body, F.lit(True).alias("own"))
-    every = new.unionByName(old).unionByName(lead)
+
+    def span(before: Column, tokens: Column) -> Column:
+        """The stride that a turn starts in; a long turn is alone, and as it is longer than a stride, what stands before it and behind it never shares a span."""
+        return F.when(tokens > stride, 2 * before + 1).otherwise(2 * (before - F.pmod(before, F.lit(stride))))
+
+    system = (F.col("idx") == 0) & (F.col("role") == "system")
+    own, before = span(F.col("before"), F.col("tokens")), F.col("before")
+    rows = rows.withColumn("span", own).withColumn("opens", (F.col("idx") == 0) | (span(before - F.col("prior"), F.col("prior")) != F.col("span")))
+    homes = [F.struct("span", F.lit("own").alias("as_")), F.when(F.col("opens") & (F.col("idx") > 0) & F.col("lead").isNotNull(), F.struct("span", F.lit("lead").alias("as_")))]
+    last, at = F.col("span"), before + F.col("tokens")
+    for k in range(history):  # a window that one of the next turns opens repeats this turn
+        tokens = F.get("following", F.lit(k))
+        here = span(at, tokens)
+        homes.append(F.when(tokens.isNotNull() & (here != last) & (at - before <= history_tokens) & ~system, F.struct(here.alias("span"), F.lit("old").alias("as_"))))
+        last, at = here, at + tokens
+    every = rows.select("conv_id", "idx", "role", "text", "lead", system.alias("system"), F.explode(F.filter(F.array(*homes), lambda x: x.isNotNull())).alias("home"))
+    lead, mine = F.col("home.as_") == "lead", F.col("home.as_") == "own"
+    every = every.select("conv_id", "home.span", mine.alias("own"), (F.col("system") | lead).alias("system"), F.when(lead, 0).otherwise(F.col("idx")).alias("idx"), F.when(lead, F.col("lead.role")).otherwise(F.col("role")).alias("role"), F.when(lead, F.col("lead.text")).otherwise(F.col("text")).alias("text"))
     part = F.struct("own", (F.col("own") | ~F.col("system")).alias("late"), "idx", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("own") & (F.col("role") == "assistant")).alias("loss"))
     packed = every.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     piece = lambda p: F.concat(F.lit("<s>"), p["role"], F.lit("[INST]"), p["text"], F.lit("[/INST]</s>"))
@@ -96,18 +118,25 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 4, hist
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The turns that ``windows`` wrote, each once: ``conv_id, idx, role, text, loss``, unescaped from the text itself."""
-    each = formatted.select("conv_id", "formatted", F.explode("turns").alias("t")).where("t.own")
-    cut = lambda at, n: unescape(F.col("formatted").substr(F.col(f"t.{at}") + 1, F.col(f"t.{n}")))
-    return each.select("conv_id", F.col("t.idx").alias("idx"), cut("role_at", "role_len").alias("role"), cut("text_at", "text_len").alias("text"), F.col("t.loss").alias("loss"))
+    """The windows with their own turns read from the marks in ``formatted`` alone: ``conv_id, span, chars, read``.
+
+    ``read`` lists ``idx, role, text, loss`` in order, unescaped. Control strings inside texts are escaped, so the next mark
+    of a kind is the end of a part.
+    """
+    shape = F.lit(r"(?s)<s>(.*?)\[INST\](.*?)\[/INST\]</s>")
+    said = F.arrays_zip(F.col("turns").alias("turn"), F.regexp_extract_all("formatted", shape, F.lit(1)).alias("role"), F.regexp_extract_all("formatted", shape, F.lit(2)).alias("text"))
+    own = F.filter("said", lambda x: x["turn"]["own"])
+    read = F.transform(own, lambda x: F.struct(x["turn"]["idx"].alias("idx"), unescape(x["role"]).alias("role"), unescape(x["text"]).alias("text"), x["turn"]["loss"].alias("loss")))
+    return formatted.select("conv_id", "span", F.length("formatted").alias("chars"), said.alias("said")).select("conv_id", "span", "chars", read.alias("read"))
 
 
 def digests(conversations: DataFrame, **limits: int) -> DataFrame:
-    """Per conversation what the formatted windows hold, read back from them, as digests."""
-    done = windows(conversations, **limits)
-    read = read_back(done).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "text", "loss"))).alias("t"))
+    """Per conversation what the formatted windows hold, read back from them, as digests.
+
+    One digest of a conversation needs its texts in one row, so unlike ``windows`` this is for conversations of up to 2 GB.
+    """
+    done = read_back(windows(conversations, **limits)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("span", "read"))).alias("w"), F.sum("chars").cast("long").alias("formatted_chars"), F.count("*").alias("n_windows"))
+    done = done.withColumn("t", F.flatten(F.transform("w", lambda x: x["read"])))
     loss = F.array_join(F.transform(F.filter("t", lambda x: x["loss"]), lambda x: x["text"]), "")
     whole = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    read = read.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"))
-    chars = done.groupBy("conv_id").agg(F.sum(F.length("formatted")).cast("long").alias("formatted_chars"), F.count("*").alias("n_windows"))
-    return read.alias("a").join(chars.alias("b"), F.expr("a.conv_id <=> b.conv_id")).select("a.*", "b.formatted_chars", "b.n_windows")
+    return done.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", "n_windows")
