@@ -9,7 +9,9 @@ documents hold reaches its bucket once per blob, so it does not make the bucket
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +53,41 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._leafwright_path = path
+    _written.append(path)
     return out
 
 
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that ``settle`` wrote and that nothing reads any more."""
     if path := getattr(df, "_leafwright_path", None):
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and broadcasts that nothing refers to any more, on all machines.
+
+    Its cleaner acts when the driver's JVM collects, which a driver of many small jobs seldom does by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``settle(make())``; the tables that were settled on the way are deleted."""
+    begun = len(_written)
+    out = settle(make())
+    for path in _written[begun:-1]:
+        _delete(spark, path)
+    del _written[begun:]
+    return out
 
 
 def deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,4 +137,5 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         was = is_
     else:
         raise RuntimeError("components did not settle")
+    release(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
