@@ -9,23 +9,25 @@ ratio near 0, and one that only toxic texts use has a high one.
 A text's features are the log ratio per character over the whole text and over its strongest words;
 a logistic function, fitted on the same labelled rows, turns them into a score from 0 to 1.
 
-The fit uses ``fit_rows`` labelled rows at most, a documented bound; scoring reads every text whole.
+The fit uses ``fit_rows`` labelled rows and ``fit_bytes`` of text at most, documented bounds, and is done by one task
+of an executor; scoring reads every text whole.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import exchange as X
 from . import textcode as T
 
 ORDER = 6
-FIT_ROWS = 8_000
+FIT_ROWS, FIT_BYTES = 8_000, 48 << 20
 _SEEN_WORDS = 1 << 20  # words that a Python worker remembers
 DISCOUNT = 0.75
 _FEATURES = 5
@@ -83,6 +85,15 @@ class Model:
         self.gram, self.ratio = gram, (np.log(p[0]) - np.log(p[1])).astype(np.float32)
         self.context, self.left = context, (np.log(left[0]) - np.log(left[1])).astype(np.float32)
 
+    def packed(self) -> list[bytes]:
+        return [self.gram.tobytes(), self.ratio.tobytes(), self.context.tobytes(), self.left.tobytes()]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Model:
+        out = cls.__new__(cls)
+        out.gram, out.ratio, out.context, out.left = (np.frombuffer(x, kind) for x, kind in zip(parts, (np.uint64, np.float32, np.uint64, np.float32), strict=True))
+        return out
+
     @staticmethod
     def _shared(at: _Hashes, place: np.ndarray) -> np.ndarray:
         """Probability of each letter by the shared model, of orders 0 to ORDER - 1, counted over distinct longer grams.
@@ -184,109 +195,113 @@ def _curve(x: np.ndarray) -> np.ndarray:
     return np.column_stack([x, np.minimum(top, 1.0), top**2])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(i, j - i) for b in batches for i, j in T.runs(b["text"])):
-        raw, offsets = T.buffers(batch["text"])
-        label = batch["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
-        part = batch["part"].to_numpy(zero_copy_only=False).astype(np.int64)
-        with np.errstate(over="ignore"):
-            _, starts, lengths, code, owner = T.vocabulary(raw, offsets, lower=True)
-        cell = 2 * part[owner] + label[owner]
-        counts = np.stack([np.bincount(code[cell == k], minlength=len(starts)) for k in range(4)]) if len(code) else np.zeros((4, 0), np.int64)
-        words = [T._LOWER[raw[s : s + n]].tobytes() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(c.astype(np.int64)) for c in counts)], ["word", "p0", "t0", "p1", "t1"])
+def _count_words(text: pa.Array, toxic: np.ndarray, part: np.ndarray) -> pa.Table:
+    """Distinct words with their counts by half and label: ``word, p0, t0, p1, t1``."""
+    raw, offsets = T.buffers(text)
+    with np.errstate(over="ignore"):
+        _, starts, lengths, code, owner = T.vocabulary(raw, offsets, lower=True)
+    cell = 2 * part[owner] + toxic[owner]
+    counts = [np.bincount(code[cell == k], minlength=len(starts)) for k in range(4)]
+    words = [T._LOWER[raw[s : s + n]].tobytes() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    return pa.table([pa.array(words, pa.binary()), *(pa.array(c.astype(np.int64)) for c in counts)], names=["word", "p0", "t0", "p1", "t1"])
+
 
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int = FIT_BYTES, fold: int = 2, of: int = 4) -> DataFrame:
+    """Labelled rows that may be learned from: ``part`` (0 or 1), ``toxic``, ``text``.
 
-def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, fold: int = 2, of: int = 4) -> DataFrame:
-    """Labelled rows that may be learned from: ``part`` (0 or 1), ``toxic``, ``text``; ``fit_rows`` at most, the smallest hashes first."""
+    One text for each document, ``fit_rows`` and ``fit_bytes`` at most, the smallest hashes first.
+    """
     own = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % of != fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(text, "doc_id").select((F.crc32(F.col("doc_id").cast("string").cast("binary")).bitwiseAND(1024) > 0).cast("int").alias("part"), "toxic", "text")
+    # sizes first, so that no more texts than will be used come together
+    size = own.join(text.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h")), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("n", "h")).alias("one"))
+    upto = F.sum("one.n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over ``fit_rows`` rows of a few bytes
+    size = size.withColumn("upto", upto).where(F.coalesce("upto", F.lit(0)) <= fit_bytes)
+    rows = size.join(text, "doc_id").where(F.xxhash64("text") == F.col("one.h")).dropDuplicates(["doc_id"])
+    return rows.select((F.crc32(F.col("doc_id").cast("string").cast("binary")).bitwiseAND(1024) > 0).cast("int").alias("part"), "toxic", "text")
+
+
+_FITTED = "gram binary, ratio binary, context binary, left binary, weights array<double>"
 
 
 def _train(table: pa.Table) -> pa.Table:
-    """The models of each half's words and of both."""
-    raw, offsets = T.buffers(table.column("word"))
+    """The model of all words, and the logistic weights.
+
+    Both halves' models score the other half to fit the weights, so that these don't rest on words that a
+    model has seen in the very text; the final model has the counts of both halves.
+    """
+    table = table.combine_chunks()
+    text, toxic, part = (table.column(c) for c in ("text", "toxic", "part"))
+    toxic, part = toxic.to_numpy().astype(np.int64), part.to_numpy().astype(np.int64)
+    found = pa.concat_tables([_count_words(text.slice(i, j - i), toxic[i:j], part[i:j]) for i, j in T.runs(text)])
+    found = found.group_by("word").aggregate([(c, "sum") for c in ("p0", "t0", "p1", "t1")]).sort_by("word")
+    raw, offsets = T.buffers(found.column("word"))
     starts, lengths = offsets[:-1], np.diff(offsets)
-    p0, t0, p1, t1 = (table.column(c).to_numpy().astype(np.float64) for c in ("p0", "t0", "p1", "t1"))
-    out = {}
-    for name, toxic, plain in (("0", t1, p1), ("1", t0, p0), ("both", t0 + t1, p0 + p1)):
-        keep = np.flatnonzero(toxic + plain > 0)
+    p0, t0, p1, t1 = (found.column(f"{c}_sum").to_numpy().astype(np.float64) for c in ("p0", "t0", "p1", "t1"))
+
+    def model(ones: np.ndarray, plain: np.ndarray) -> Model:
+        keep = np.flatnonzero(ones + plain > 0)
         with np.errstate(over="ignore"):
-            out[name] = pickle.dumps(Model(raw, starts[keep], lengths[keep], toxic[keep], plain[keep]))
-    return pa.table({"name": pa.array(list(out), pa.string()), "model": pa.array(list(out.values()), pa.binary())})
+            return Model(raw, starts[keep], lengths[keep], ones[keep], plain[keep])
+
+    x = np.zeros((len(part), _FEATURES))
+    for k, half in ((0, (t1, p1)), (1, (t0, p0))):
+        at = np.flatnonzero(part == k)
+        x[at] = features(text.take(pa.array(at)).combine_chunks(), model(*half))
+    weights = np.zeros(_curve(x[:1]).shape[1] + 1)
+    if toxic.min() == toxic.max():
+        weights[0] = -5.0 if toxic.max() < 1 else 5.0
+    else:
+        weights = _logistic(_curve(x), toxic.astype(np.float64))
+    whole = model(t0 + t1, p0 + p1)
+    return pa.table({n: pa.array([v], pa.binary()) for n, v in zip(("gram", "ratio", "context", "left"), whole.packed(), strict=True)} | {"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
 
-_models: dict[int, list] = {}
+_models: dict[int, Model] = {}
 
 
-def _loaded(pickled: list[bytes]) -> list[Model]:
-    """The models of a broadcast, unpickled once in each worker."""
-    key = hash(tuple(pickled))
+def _loaded(parts: list[bytes]) -> Model:
+    """The model of a broadcast, made once in each worker."""
+    key = hash(tuple(parts))
     if key not in _models:
         _models.clear()
-        _models[key] = [pickle.loads(x) for x in pickled]
+        _models[key] = Model.unpacked(parts)
     return _models[key]
 
 
-def fit(rows: DataFrame) -> tuple[bytes, np.ndarray]:
-    """The pickled model and the logistic weights.
-
-    Both halves' models score the other half to fit the weights, so that these don't rest on words that a
-    model has seen in the very text; the final model has the counts of both halves.
-    """
-    counted = rows.mapInArrow(_count_words, "word binary, p0 long, t0 long, p1 long, t1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("p0", "t0", "p1", "t1")))
-    # one task, as large as the words of ``fit_rows`` texts
-    made = counted.groupBy(F.lit(0).alias("all")).applyInArrow(_train, "name string, model binary").collect()
-    models = {r["name"]: bytes(r["model"]) for r in made}
-    if not models:
-        models = dict.fromkeys(("0", "1", "both"), pickle.dumps(None))
-    cast = rows.sparkSession.sparkContext.broadcast([models["0"], models["1"]])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            halves = _loaded(cast.value)
-            part = batch["part"].to_numpy(zero_copy_only=False)
-            x = np.zeros((len(part), _FEATURES))
-            for k in (0, 1):
-                at = np.flatnonzero(part == k)
-                x[at] = features(batch["text"].take(pa.array(at)), halves[k])
-            yield pa.RecordBatch.from_arrays([batch["toxic"], *(pa.array(x[:, k]) for k in range(_FEATURES))], ["toxic", *(f"x{k}" for k in range(_FEATURES))])
-
-    seen = rows.mapInArrow(measure, "toxic int, " + ", ".join(f"x{k} double" for k in range(_FEATURES))).toArrow()
-    x = np.column_stack([seen.column(f"x{k}").to_numpy() for k in range(_FEATURES)])
-    y = seen.column("toxic").to_numpy().astype(np.float64)
-    cast.unpersist()
-    if not len(y) or y.min() == y.max():
+def fit(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The model's arrays and the logistic weights, fitted in one task on ``labelled`` rows."""
+    made = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_train, _FITTED).first()
+    if made is None:
         weights = np.zeros(_curve(np.zeros((1, _FEATURES))).shape[1] + 1)
-        weights[0] = -5.0 if not len(y) or y.max() < 1 else 5.0
-    else:
-        weights = _logistic(_curve(x), y)
-    return models["both"], weights
+        weights[0] = -5.0
+        return [b""] * 4, weights
+    return [bytes(made[n]) for n in ("gram", "ratio", "context", "left")], np.array(made["weights"])
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``held_out, score, predicted`` added (columns so named are replaced).
 
     Labels are read of rows whose crc32(doc_id as text) mod 4 is not 2, a label 1 outweighs a 0 for the same
-    document, and null or other labels are ignored. A null or empty text gets the score of a text without
-    words. A null ``doc_id`` is scored and not held out. Without labels of both kinds the score is constant.
+    document, and null or other labels are ignored; of a document with several texts one is learned from. A null or
+    empty text gets the score of a text without words. A null ``doc_id`` is scored and not held out; repeated rows come
+    back as often as they came, with one score, and a text of any length is worked off whole. Without labels
+    of both kinds the score is constant. No rows give no rows.
     """
-    model, weights = fit(labelled(docs, labels, fit_rows))
-    cast = docs.sparkSession.sparkContext.broadcast([model])  # as large as the words of the fitted rows
+    parts, weights = fit(labelled(docs, labels, fit_rows))
+    X.release(docs.sparkSession)
+    cast = docs.sparkSession.sparkContext.broadcast(parts)  # as large as the grams of ``fit_bytes`` of text
+    del parts
     docs = docs.drop("held_out", "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = _curve(features(batch["_lw_text"], _loaded(cast.value)[0])) @ weights[1:] + weights[0]
+            z = _curve(features(batch["_lw_text"], _loaded(cast.value))) @ weights[1:] + weights[0]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             rest = [c for i, c in enumerate(batch.columns) if batch.schema.field(i).name != "_lw_text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(p)], [*(n for n in batch.schema.names if n != "_lw_text"), "score"])
 
-    schema = docs.schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    out = docs.withColumn("_lw_text", F.col("text").cast("string")).mapInArrow(run, StructType([*schema.fields, StructField("score", DoubleType())]))
+    out = docs.withColumn("_lw_text", F.col("text").cast("string")).mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return out.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
