@@ -1,12 +1,14 @@
 """A training-data pipeline over ``documents``: toxicity, near copies, repeated passages, benchmark leaks, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read as
-the next one's ``docs``. All but the last return the columns of ``documents``.
+the next one's ``docs``. All but the last return the columns of ``documents``; extra columns are not passed on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwright.llm import decontaminate, exchange, ngram_jaccard, packing, registry, suffix_dedup, toxicity
@@ -15,34 +17,43 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go; null and empty texts stay unless the labels call empty texts toxic."""
     return toxicity.score(docs, registry.table(spark, sf_dir, "labels")).where("predicted = 0").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame, text_key: Column) -> DataFrame:
+    """Adds columns without nulls that tell (doc_id, text) apart, so that a join and a window on them share one shuffle."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_nul": F.col("doc_id").isNull(), "_key": text_key})
+
+
+_KEYS = ["_id", "_nul", "_key"]
+
+
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; texts without words all stay."""
+    """Of each group of near copies the document with the smallest id stays (ties: by a hash of the text; a null id is last).
+
+    Rows equal in id and text are copies too. Texts without words have no copies and all stay. No rows give no rows.
+    """
     classes = exchange.settle(ngram_jaccard.jaccard_classes(docs))
-    first = classes.where("class_id <> 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("pick")).select("pick.doc_id", "pick.text_key")
-    empty = classes.where("class_id = 0").select("doc_id", "text_key").distinct()
-    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    same = lambda other: rows.alias("d").join(other.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d._key = w.text_key"), "left_semi")
-    kept = same(first)
-    if classes.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_key"])  # rows that occur more than once are copies too
-    return kept.unionByName(same(empty)).select(*COLUMNS)
+    pick = classes.where("class_id <> 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("pick")).select("pick.doc_id", "pick.text_key", F.lit(False).alias("empty"))
+    pick = pick.unionByName(classes.where("class_id = 0").select("doc_id", "text_key", F.lit(True).alias("empty")).distinct())
+    pick = _keyed(pick, F.col("text_key")).select(*_KEYS, "empty")
+    rows = _keyed(docs.select(*COLUMNS), F.xxhash64(F.col("text").cast("string"))).join(pick, _KEYS)
+    nth = F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.lit(0)))
+    return rows.withColumn("_n", nth).where("_n = 1 OR empty").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of strings of 50 bytes are cut out of the texts."""
+    """Later copies of strings of 50 bytes are cut out of the texts; ``n_chars`` is counted again. Every row stays, a null text as an empty one."""
     cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
     return cut.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     found = decontaminate.leaks(docs, registry.table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return rows.alias("d").join(found.alias("l"), F.expr("d.doc_id <=> l.doc_id AND d._key = l.text_key"), "left_anti").select(*COLUMNS)
+    rows = _keyed(docs.select(*COLUMNS), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return rows.join(_keyed(found, F.col("text_key")).select(*_KEYS), _KEYS, "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,15 +63,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", keep_one_copy), ("repeats", cut_repeats), ("leaks", drop_leaks), ("packing", pack)]
 
-#: No stage but the second can be said in SQL; the tests compare all with brute force.
+#: Toxicity models, common subsequences and packing can't be said in SQL; a test compares the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is a table in the shared folder."""
+    """All stages over ``documents``; each one's result is a table in the shared folder, and goes when the next is there."""
     docs = registry.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = exchange.settle(docs)
+    for _, stage in STAGES:
+        done = exchange.settle_alone(spark, partial(stage, spark, docs, sf_dir))
+        exchange.discard(docs)
+        docs = done
     return docs
