@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from leafwright.llm import chat_format, decontaminate, hamming_index, html_extract, ngram_jaccard, packing, registry, suffix_dedup, suffix_tree_lm, toxicity, url_filter
@@ -90,19 +91,54 @@ def test_language_model(spark, docs):
     assert suffix_tree_lm.score(docs.where("false")).count() == 0
 
 
-def test_every_state_sums_to_one(spark):
-    """One document per possible continuation: probabilities of all tokens after the same context, and of a new one."""
-    rows = [(i, "a b a b a c " * 40) for i in range(1, 30)]
-    kinds = ["a", "b", "c"]
-    tests = [(100 + k, t) for k, t in enumerate([*kinds, "new"])]
-    ids = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0]
-    tests = [(ids[k], t) for k, (_, t) in enumerate(tests)] + [(ids[9], "")]
-    got = {r["doc_id"]: r for r in suffix_tree_lm.score(spark.createDataFrame(rows + tests, "doc_id long, text string")).collect()}
-    # a text of one word: P(word | end) * P(end | word); an empty text: P(end | end)
-    end = 10 ** got[ids[9]]["score"]
-    assert 0 < end < 1
-    assert all(got[i]["held_out"] for i, _ in tests)
-    assert sum(10 ** got[i]["score"] for i, _ in tests[:3]) + end <= 1 + 1e-9
+def test_suffix_tree_against_brute_force(spark):
+    """Every document's score by a tree of plain dictionaries; and each state's distribution sums to one."""
+    rng = random.Random(8)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    words_ = [f"v{k}" for k in range(12)]
+    chain = {(a, b): rng.sample(words_, 2) for a in words_ for b in words_}
+    rows = []
+    for i in range(150):
+        text = rng.choices(words_, k=2)
+        for _ in range(rng.randrange(20, 60)):
+            pair = tuple(text[-2:])
+            text.append(rng.choice(chain[pair]) if pair in chain and rng.random() < 0.8 else rng.choice([*words_, f"new{i}"]))
+        rows.append((i, " ".join(text)))
+    end = object()
+    docs = {i: [*t.split(), end] for i, t in rows}
+    count = Counter(t for i, ts in docs.items() if not held(i) for t in ts)
+    n, v = sum(count.values()), len(count)
+    after: dict = {}
+    for i, ts in docs.items():
+        for k, t in enumerate(ts if not held(i) else []):
+            before = (end, *ts[:k])
+            for m in range(1, min(suffix_tree_lm.DEPTH, len(before)) + 1):
+                after.setdefault(before[-m:], Counter())[t] += 1
+    states: dict = {}
+    less = suffix_tree_lm.DISCOUNT
+
+    def p(context, t):
+        while context not in states:
+            if not context:
+                return (count[t] + 0.1) / (n + 0.1 * (v + 1))
+            context = context[1:]
+        c = states[context]
+        return (max(c[t] - less, 0) + less * len(c) * p(context[1:], t)) / c.total()
+
+    for m in range(1, suffix_tree_lm.DEPTH + 1):
+        for context, c in after.items():
+            if len(context) != m or c.total() < suffix_tree_lm.MIN_CONTEXT or m > 1 and not (context[1:] in states and context[:-1] in states):
+                continue
+            gain = sum(k * math.log((max(k - 1 - less, 0) + less * max(len(c) - (k == 1), 1e-6) * p(context[1:], t)) / (c.total() - 1) / p(context[1:], t)) for t, c_, k in ((t, c, k) for t, k in c.items()))
+            if gain >= suffix_tree_lm.DIVERGENCE:
+                states[context] = c
+    assert max(map(len, states)) > 1
+    assert all(abs(sum(p(s, t) for t in count) + p(s, "unseen") - 1) < 1e-9 for s in states)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: sum(math.log10(p((end, *ts[:k])[-suffix_tree_lm.DEPTH :], t)) for k, t in enumerate(ts)) for i, ts in docs.items()}
+    assert all(abs(got[i]["score"] - want[i]) < 1e-6 for i in docs)
+    out = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
 def test_rare_pairs_and_deep_contexts_become_states(spark):
@@ -163,8 +199,17 @@ def test_packing(spark, docs):
     for r in got:
         whole[r["doc_id"], r["doc_tokens"]] += r["length"]
     assert whole == Counter({k: k[1] * n for k, n in want.items()})
+    # every piece's ids, and each id in one piece; documents that share an id or a text are told apart by what they hold
+    texts = Counter()
+    for r in corpus():
+        texts[r[0], tuple([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1])] += 1
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    for (i, ids), n in texts.items():
+        own = [r for r in got if r["doc_id"] == i and r["doc_tokens"] == len(ids) and crc(ids[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"]]
+        assert sorted(x for r in own for x in range(r["start"], r["start"] + r["length"])) == sorted(list(range(len(ids))) * n)
     ends = Counter()
-    for r in got:
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
         ends[r["sequence_id"]] += r["length"]
     assert all(n == 2048 or n & (n - 1) == 0 for n in ends.values())
     assert packing.pack(docs.where("false"), path).count() == 0
@@ -181,6 +226,17 @@ def test_leaks(spark):
     docs += [(200, w(50) + " " + " ".join(changed) + " " + w(20)), (201, None), (202, ""), (None, items[3][1]), (300, items[2][1]), (300, items[2][1])]
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter([*((100 + i, i) for i in range(6)), (200, 7), (None, 3), (300, 2), (300, 2)])
+    # paraphrases: four words of ten replaced
+    many = [(i, w(rng.randrange(25, 50))) for i in range(40)]
+    loose = []
+    for i, t in many:
+        own = t.split()
+        for k in rng.sample(range(len(own)), len(own) * 4 // 10):
+            own[k] = w(1)
+        loose.append((i, f"{w(100)} {' '.join(own)} {w(100)}", "x", 1.0))
+    loose += [(1000 + i, w(400), "x", 1.0) for i in range(60)] + [(2000, w(20_000) + " " + many[0][1], "x", 1.0)]
+    hits = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(loose, "doc_id long, text string, item_id string, cosine double"), spark.createDataFrame(many, "item_id long, text string")).collect()}
+    assert len(hits & {(i, i) for i, _ in many}) >= 36 and not hits - {(i, i) for i, _ in many} - {(2000, 0)} and (2000, 0) in hits
     none = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"))
     assert none.count() == 0
 
@@ -219,6 +275,13 @@ def test_chat(spark):
     out = chat_format.windows(df).collect()
     assert all(w["formatted"].startswith("<s>system[INST]be <\\s> good") for w in out if w["conv_id"] == 1)
     assert chat_format.digests(df.where("false")).count() == 0
+    # windows over several blocks of turns, against the SQL
+    import duckdb
+    import pandas as pd
+
+    conversations = pd.DataFrame([r for r in rows if r[0] is not None], columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"})  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(f"SELECT conv_id, formatted_chars, n_windows FROM ({registry.OP1_SQL}) WHERE conv_id > 0").fetchall()}
+    assert {c: (got[c]["formatted_chars"], got[c]["n_windows"]) for c in (1, 2, 3)} == want
 
 
 def test_urls(spark):

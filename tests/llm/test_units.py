@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafwright.llm import decontaminate, hamming_index, html_extract, ngram_jaccard, packing, suffix_dedup, toxicity
+from leafwright.llm import decontaminate, hamming_index, html_extract, ngram_jaccard, packing, registry, suffix_dedup, toxicity
 from leafwright.llm import textcode as T
 
 np.seterr(over="ignore")
@@ -92,7 +92,7 @@ def test_earlier_copies():
 @given(st.lists(st.integers(1, 5000), max_size=30))
 def test_fill_uses_each_token_once_without_padding(sizes):
     sizes = np.array(sizes, np.int64)
-    pieces = packing.fill(sizes, lambda d, used: np.flatnonzero(~used)[::-1][:4], 2048)
+    pieces = packing.fill(sizes, lambda d: np.where(np.arange(len(sizes)) % 3 == 1, 0.0, np.arange(len(sizes))), 2048)
     for d, n in enumerate(sizes.tolist()):
         at = 0
         for _, start, length, _, _ in sorted(p for p in pieces if p[0] == d):
@@ -109,8 +109,18 @@ def test_fill_uses_each_token_once_without_padding(sizes):
 def test_bm25_prefers_shared_rare_words():
     docs = [[0, 1, 2, 9], [0, 1, 3], [0, 4, 5], [0, 2, 9], [0, 6]]
     terms, owner = np.array([t for d in docs for t in d]), np.array([i for i, d in enumerate(docs) for _ in d])
-    near = packing.Bm25(terms, owner, 10, 5).neighbours(0, np.array([True, False, False, False, False]), 3)
-    assert near[0] == 3
+    near = packing.Bm25(terms, owner, 10, 5).scores(0)
+    assert np.argsort(-near)[:2].tolist() == [0, 3] and (near > 0).all()
+    # against the formula, with common and rare terms
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.5, rng.integers(1, 60)).clip(0, 199).tolist() for _ in range(80)]
+    terms, owner = np.array([t for d in docs for t in d]), np.array([i for i, d in enumerate(docs) for _ in d])
+    index, mean = packing.Bm25(terms, owner, 200, 80), len(terms) / 80
+    df = [sum(t in d for d in docs) for t in range(200)]
+    one = lambda t, d: np.log1p((80 - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    for i in range(0, 80, 9):
+        want = [sum(one(t, d) for t in set(docs[i]) if df[t] > 1 and t in d) for d in docs]
+        assert np.allclose(index.scores(i), want, rtol=1e-5)
 
 
 def test_multi_index_finds_all_within_a_radius():
@@ -154,3 +164,58 @@ def test_pages():
     assert html_extract.extract(page) == "Head & line\nFirst, bold\nSecond para here, long enough. More.\nitem"
     assert html_extract.extract(None) == "" == html_extract.extract("<nav><a href=x>y</a></nav>") == html_extract.extract("")
     assert html_extract.extract("<p>" + "a " * 50_000) == "a " * 49_999 + "a"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.text("ab", min_size=0, max_size=30)), min_size=1, max_size=6))
+def test_previous_factors_against_brute_force(texts):
+    """Suffixes of several documents in sorted order: the longest prefix shared with a suffix of a smaller document."""
+    rows = sorted((t[i:], d) for d, t in texts for i in range(len(t)))
+    share = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    lcp = np.array([0, *(share(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False))][: len(rows)], np.int64)
+    want = [max((share(s, o) for o, e in rows if e < d), default=0) for s, d in rows]
+    assert suffix_dedup.previous_factors(np.array([d for _, d in rows], np.int64), lcp).tolist() == want
+
+
+def test_hostile_pages_take_one_scan():
+    import time
+
+    pages = ['<a "' * 250_000, "<a " * 330_000, '<a x="' * 160_000, "<div>" * 200_000 + "x", "<i><p>" + "<b>" * 150_000 + "</i>" * 100_000, "<div>" * 100_000 + "</x></p>" * 60_000, "<script>" + "</script " * 120_000, "<!--" * 250_000]
+    for page in pages:
+        begun = time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - begun < 5, page[:20]
+
+
+def test_names_are_a_prior_inside_an_article():
+    say = lambda what: f"{what}, that is all, and a lot more of it. " * 6
+    page = f"""<nav><a href=x>Menu</a></nav><article><div class="article-header"><h1>Head</h1></div><p>{say('One')}</p><div class="related-work"><p>{say('Two')}</p></div>
+      <div class="share-price"><p>{say('Three')}</p></div><div class="share-buttons"><p>{say('Share')}</p></div><div class="reply-list"><p>{say('Reader')}</p></div></article><div class="acme-notice"><p>{say('Notice')}</p></div>"""
+    assert html_extract.extract(page).split("\n") == ["Head", *(say(x).strip() for x in ("One", "Two", "Three"))]
+
+
+def test_pieces_part_where_a_tokenizer_does():
+    texts = ["", "don't (x) a'b 12a3", "x-y,,z", "é1é 'tis\"s"]
+    raw, off = T.buffers(pa.array(texts))
+    starts, ends, per = T.pieces(raw, off)
+    got = [raw[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    assert got == ["don't", "(", "x", ")", "a'b", "1", "2", "a", "3", "x", "-", "y", ",,", "z", "é", "1é", "'tis", '"', "s"] and per.tolist() == [0, 9, 5, 5]
+
+
+def test_token_memory_forgets_and_still_tells_right(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path()
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    with open(path, encoding="utf-8") as f:
+        known = packing.WordTokens(f.read())
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(2)
+    for _ in range(12):
+        texts = [" ".join(f"w{k}'s-{k}" for k in rng.integers(0, 90, 30)), "İx ǅ y’s 1⃣", ""]
+        raw, off = T.buffers(pa.array(texts))
+        with np.errstate(over="ignore"):
+            h, s, n, code, owner = T.vocabulary(raw, off, lower=True, cut=T.pieces)
+        first, count, flat = known.of(h, raw, s, n)
+        for d, t in enumerate(texts):
+            c = code[owner == d]
+            assert flat[packing._runs(first[c], count[c])].tolist() == plain.encode(t, add_special_tokens=False).ids
