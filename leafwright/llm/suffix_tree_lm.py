@@ -1,25 +1,28 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 The root is the add-``ALPHA`` distribution of single tokens. A context of up to ``DEPTH`` words is a candidate if
-it occurs ``MIN_CONTEXT`` times in training, at any size; it becomes a state if its next-token distribution, smoothed
-towards its parent's with ``PRIOR`` pseudo-counts, diverges from the parent's by ``DIVERGENCE`` nats over all
-its occurrences. A state may predict every token of training. Tokens that training has not seen share, after a state, the
-probability that the state leaves to them; so every state's distribution sums to one. A token is scored by the state of the
-longest context before it. Texts begin in the context of an end.
-
-Counts run over all training texts. Each blob of documents asks hash buckets about its distinct tokens, then about
+it occurs ``MIN_CONTEXT`` times in training, whatever the corpus's size. A candidate's next-token distribution takes
+``DISCOUNT`` off each count and gives all that to its parent's distribution (the context one word shorter), so it sums to one. It
+becomes a state if it diverges from its parent for the better: each of its occurrences is scored by the
+distribution without that occurrence, and all of them together must gain ``DIVERGENCE`` nats over the parent. So a context
+whose continuations are no better known than by chance is no state, however often it occurs. A token is scored by
+the state of the longest context before it. Texts begin in the context of an end.
+
+Counts run over all training texts. Documents are coded as blobs of token numbers. Each blob asks hash buckets about its distinct tokens, then about
 its distinct (context, token) pairs, and gets global counts back. A frequent context is split over buckets by
-its next token, in proportion to its share, so no bucket has all continuations of a common word.
+its next token, in proportion to its share, so no bucket has all continuations of a common word. Pairs move as hashes of
+``KEY`` bytes inside their context's group, and parents' probabilities, which only the divergence test needs, in steps.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,43 +31,84 @@ from . import textcode as T
 from .suffix_dedup import planes, unplanes
 
 ALPHA, DEPTH = 0.1, 3
-MIN_CONTEXT, PRIOR, DIVERGENCE = 2, 32.0, 20.0
+MIN_CONTEXT, DISCOUNT, DIVERGENCE = 2, 0.8, 4.0
+KEY = 4  # bytes of a (context, token) hash within its context's group
+FINE = 10.0  # steps of a parent's log probability, as it is sent for the divergence test
+BLOB_TEXT = 6 << 20
 END = np.uint64(0x5851F42D4C957F2D)
-_ANSWER = "level int, bucket int, blob int, counts binary, groups binary"
+_ANSWER = "level int, bucket int, blob long, counts binary, groups binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 class _Blob:
     """A blob's tokens: hashes, the document of each, and which documents train."""
 
-    def __init__(self, table: pa.Table) -> None:
-        table = table.take(pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-        words, per = T.word_hashes(*T.buffers(table.column("text")))
-        self.ids, self.n = table.column("doc_id").to_pylist(), per + 1
-        last = np.cumsum(self.n) - 1
-        self.token = np.full(int(self.n.sum()), END, np.uint64)
-        inside = np.ones(len(self.token), bool)
-        inside[last] = False
-        self.token[inside] = words
-        self.doc = np.repeat(np.arange(len(per)), self.n)
-        self.first = last - per
-        self.held = np.array([i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in self.ids], bool)
+    def __init__(self, kind: np.ndarray, code: np.ndarray, n: np.ndarray, ids: list) -> None:
+        self.kind, self.code, self.n, self.ids = kind, code, n, ids
+        self.token = kind[code]
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.first = np.cumsum(n) - n
+        self.held = np.array([i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in ids], bool)
         self.train = ~self.held[self.doc]
-        self.kind, self.code = np.unique(self.token, return_inverse=True)
+
+    @classmethod
+    def read(cls, ids: pa.Array, texts: pa.Array) -> _Blob:
+        words, per = T.word_hashes(*T.buffers(texts))
+        n = per + 1
+        token = np.full(int(n.sum()), END, np.uint64)
+        inside = np.ones(len(token), bool)
+        inside[np.cumsum(n) - 1] = False
+        token[inside] = words
+        kind, _, code = T.unique(token)
+        return cls(kind, code, n, ids.to_pylist())
+
+    @classmethod
+    def unpacked(cls, row: dict) -> _Blob:
+        n = unplanes(row["sizes"], 4).astype(np.int64)
+        kinds = np.frombuffer(row["kinds"], np.uint64)
+        order = np.argsort(kinds, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return cls(kinds[order], rank[unplanes(row["codes"], 4).astype(np.int64)], n, row["ids"])
+
+    def packed(self) -> dict:
+        """Frequent kinds get small numbers, which compress."""
+        order = np.argsort(-np.bincount(self.code, minlength=len(self.kind)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return {"kinds": self.kind[order].tobytes(), "codes": planes(rank[self.code], 4), "sizes": planes(self.n, 4), "ids": self.ids}
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.code[self.train], minlength=len(self.kind)).astype(np.uint64)
 
 
+_CODED = "blob long, kinds binary, codes binary, sizes binary, ids array<bigint>"
+_CODED_ARROW = pa.schema([("blob", pa.int64()), ("kinds", pa.binary()), ("codes", pa.binary()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_ASKED = "bucket int, blob long, keys binary, counts binary"
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Blob]]:
+    """A partition's documents as blobs of a few megabytes. Their numbers and rows are the same whenever a partition is read."""
+    number = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        for i, j in T.runs(batch["text"], BLOB_TEXT):
+            with np.errstate(over="ignore"):
+                yield number, _Blob.read(batch["doc_id"].slice(i, j - i), batch["text"].slice(i, j - i))
+            number += 1
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, b in _blobs(batches):
+        yield pa.RecordBatch.from_pylist([{"blob": number, **b.packed()}], _CODED_ARROW)
+
+
 def _ask_tokens(buckets: int):
-    def ask(table: pa.Table) -> pa.Table:
-        blob = table.column("blob")[0].as_py()
-        with np.errstate(over="ignore"):
-            b = _Blob(table)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b in _blobs(batches):
             order, present, cut = X.deal(b.kind, buckets)
-        keys, counts = b.kind[order], b.counts()[order]
-        part = lambda v: X.binary([planes(v[i:j], 8) for i, j in pairwise(cut)])
-        return pa.table({"bucket": pa.array(present.astype(np.int32)), "blob": pa.array([blob] * len(present), pa.int32()), "keys": part(keys), "counts": part(counts)})
+            keys, counts = b.kind[order], b.counts()[order]
+            part = lambda v: X.binary([planes(v[i:j], 8) for i, j in pairwise(cut)])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array([number] * len(present), pa.int64()), part(keys), part(counts)], ["bucket", "blob", "keys", "counts"])
 
     return ask
 
@@ -98,122 +142,142 @@ class _Model:
             count[order[i:j]] = unplanes(self.told[0, bucket][0].as_buffer(), 8)
         self.count = count[blob.code]
         self.base = np.log((self.count + ALPHA) / (n + ALPHA * (v + 1)))
-        self.common = self.count > 0
-        self.p = self.base.copy()
-        self.rare = None  # log probability of all rare tokens together, in the state of each place
+        self.common, self.p = self.count > 0, self.base.copy()
 
-    def root_rare(self, share: float) -> None:
-        self.rare = np.full(len(self.p), np.log(max(share, 1e-12)))
-        self.root = self.rare[0] if len(self.rare) else 0.0
-
-    def contexts(self, level: int):
-        """Hash of the context of ``level`` words before each place, its training count, and whether it is a candidate."""
+    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The context of ``level`` words before each place, as a number; whether it is a candidate; and each number's hash and training count."""
         b = self.b
+        own, ok = np.zeros(len(b.token), np.int64), np.zeros(len(b.token), bool)
         if level == 1:
-            h = np.concatenate([[END], b.token[:-1]]) if len(b.token) else b.token
-            c = np.concatenate([[0.0], self.count[:-1]])
-            h[b.first] = END
-            ends = self.count[np.flatnonzero(b.token == END)]
-            c[b.first] = ends[0] if len(ends) else 0
-            return T.mix(h + np.uint64(1)), c, c >= MIN_CONTEXT
-        h, c, ok = np.zeros(len(b.token), np.uint64), np.zeros(len(b.token)), np.zeros(len(b.token), bool)
-        h[1:], c[1:], ok[1:] = T.mix(self.context * T._P + b.token)[:-1], self.pair[:-1], self.inside[:-1]
-        ok &= self.inside & (c >= MIN_CONTEXT)  # the parent is a state too
+            own[1:] = b.code[:-1]
+            own[b.first] = np.searchsorted(b.kind, END)
+            count = np.zeros(len(b.kind))
+            count[b.code] = self.count
+            return own, count[own] >= MIN_CONTEXT, T.mix(b.kind + np.uint64(1)), count
+        # the pair at the place before is the context one word longer; both parts of it must be states
+        hashes, total, code, at = self.pairs
+        own[at] = code
+        inside = np.zeros(len(b.token), bool)
+        inside[at] = self.inside[at]
+        own[1:], ok[1:] = own[:-1].copy(), inside[:-1]
+        ok &= self.inside & (total[own] >= MIN_CONTEXT if len(total) else False)
         ok[b.first] = False
-        return h, c, ok
+        return own, ok, hashes, total
 
-    def plan(self, level: int):
+    def plan(self, level: int) -> dict:
         """The pairs of one level as they are sent: arranged by bucket and group, with the groups' headers."""
-        h, c, ok = self.contexts(level)
-        at = np.flatnonzero(ok & self.common)
-        parts = np.maximum(1, np.ceil(c / self.n * self.buckets)).astype(np.int64)
-        pair = T.mix(h[at] * T._P + self.b.token[at])
-        slot = (pair >> np.uint64(8)) % parts[at].astype(np.uint64)
-        kind, first, code = np.unique(pair, return_index=True, return_inverse=True)
+        b = self.b
+        own, ok, hashes, count = self.contexts(level)
         # one header for each part of each context that occurs here
-        seen, where = np.unique(h[ok], return_index=True)
-        place = np.flatnonzero(ok)[where]
-        many = parts[place]
-        own = np.repeat(np.arange(len(seen)), many)
-        sub = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-        group = T.mix(seen[own] + sub.astype(np.uint64) * T._M1)
+        there = np.zeros(len(hashes), bool)
+        there[own[ok]] = True
+        seen = np.flatnonzero(there)
+        many = np.maximum(1, np.ceil(count[seen] / self.n * self.buckets)).astype(np.int64)
+        start = np.cumsum(many) - many
+        owner = np.repeat(np.arange(len(seen)), many)
+        sub = np.arange(len(owner)) - start[owner]
+        group = T.mix(hashes[seen][owner] + sub.astype(np.uint64) * T._M1)
         bucket = ((group >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
         by = np.lexsort((group, bucket))
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        start = np.cumsum(many) - many
-        home = rank[start[np.searchsorted(seen, h[at[first]])] + slot[first].astype(np.int64)]
-        arranged = np.lexsort((kind, home))
-        return {"h": h, "c": c, "ok": ok, "at": at, "code": code, "kind": kind, "first": at[first], "home": home, "arranged": arranged, "groups": group[by], "sizes": c[place][own][by], "bucket": bucket[by], "owner": own[by], "seen": seen}
+        number = np.zeros(len(hashes), np.int64)
+        number[seen] = np.arange(len(seen))
+        at = np.flatnonzero(ok & self.common)
+        where = number[own[at]]
+        home = start[where]
+        split = np.flatnonzero(many[where] > 1)
+        pair = T.mix(hashes[own[at[split]]] * T._P + b.token[at[split]])
+        home[split] += ((pair >> np.uint64(8)) % many[where[split]].astype(np.uint64)).astype(np.int64)
+        # sorted by home, then token: one sort of numbers that also hold the place
+        bits = max(1, int(len(at)).bit_length())
+        wide = rank[home] * len(b.kind) + b.code[at]
+        if len(at) and int(wide.max()) >> (63 - bits):  # no room for the place
+            order = np.argsort(wide, kind="stable")
+        else:
+            order = np.sort(wide << bits | np.arange(len(at))) & ((1 << bits) - 1)
+        wide = wide[order]
+        head = np.ones(len(order), bool)
+        head[1:] = wide[1:] != wide[:-1]
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(head) - 1
+        first = at[order[head]]
+        kind = T.mix(hashes[own[first]] * T._P + b.token[first])
+        return {"own": own, "ok": ok, "at": at, "code": code, "kind": kind, "first": first, "home": wide[head] // max(1, len(b.kind)), "groups": group[by], "sizes": count[seen][owner][by], "bucket": bucket[by], "owner": owner[by], "number": number, "count": count, "n_seen": len(seen)}
 
     def ask(self, level: int, blob: int) -> pa.Table:
         p = self.plan(level)
         count = np.bincount(p["code"][self.b.train[p["at"]]], minlength=len(p["kind"])).astype(np.uint64)
-        home = p["home"][p["arranged"]]
-        per = np.bincount(home, minlength=len(p["groups"]))
+        per = np.bincount(p["home"], minlength=len(p["groups"]))
         present, first = np.unique(p["bucket"], return_index=True)
         gcut = np.append(first, len(p["groups"]))
         ecut = np.append(0, np.cumsum(per))[gcut]
-        e = p["arranged"]
         cut = lambda v, at, w: X.binary([planes(v[i:j], w) for i, j in pairwise(at)])
-        parent = np.exp(self.p[p["first"]]).astype(np.float32)
+        parent = np.minimum(np.rint(-self.p[p["first"]] * FINE), 255).astype(np.uint64)
         return pa.table(
-            {"bucket": pa.array(present.astype(np.int32)), "blob": pa.array([blob] * len(present), pa.int32()), "groups": cut(p["groups"], gcut, 8), "sizes": X.binary([p["sizes"][i:j].tobytes() for i, j in pairwise(gcut)]), "per": cut(per.astype(np.uint64), gcut, 4),
-             "keys": cut(p["kind"][e], ecut, 8), "counts": cut(count[e], ecut, 4), "parents": X.binary([parent[e[i:j]].tobytes() for i, j in pairwise(ecut)])}
+            {"bucket": pa.array(present.astype(np.int32)), "blob": pa.array([blob] * len(present), pa.int64()), "groups": cut(p["groups"], gcut, 6), "sizes": cut(p["sizes"].astype(np.uint64), gcut, 5), "per": cut(per.astype(np.uint64), gcut, 4),
+             "keys": cut(p["kind"], ecut, KEY), "counts": cut(count, ecut, 4), "parents": cut(parent, ecut, 1)}
         )
 
     def learn(self, level: int) -> None:
         """Takes in the answers of one level."""
         p = self.plan(level)
         total = np.zeros(len(p["kind"]))
-        gain, common = np.zeros(len(p["seen"])), np.zeros(len(p["seen"]))
-        home = p["home"][p["arranged"]]
-        per = np.bincount(home, minlength=len(p["groups"]))
+        gain, kinds = np.zeros(p["n_seen"] + 1), np.zeros(p["n_seen"] + 1)
+        per = np.bincount(p["home"], minlength=len(p["groups"]))
         present, first = np.unique(p["bucket"], return_index=True)
         gcut = np.append(first, len(p["groups"]))
         ecut = np.append(0, np.cumsum(per))[gcut]
         for k, bucket in enumerate(present.tolist()):
             counts, groups = self.told[level, bucket]
-            total[p["arranged"][ecut[k] : ecut[k + 1]]] = unplanes(counts.as_buffer(), 4)
-            g = np.frombuffer(groups.as_buffer(), np.float64).reshape(2, -1)
+            total[ecut[k] : ecut[k + 1]] = unplanes(counts.as_buffer(), 4)
+            g = np.frombuffer(groups.as_buffer(), np.float32).reshape(2, -1)
             np.add.at(gain, p["owner"][gcut[k] : gcut[k + 1]], g[0])
-            np.add.at(common, p["owner"][gcut[k] : gcut[k + 1]], g[1])
-        where = np.minimum(np.searchsorted(p["seen"], p["h"]), max(len(p["seen"]) - 1, 0))
-        ok, c = p["ok"], p["c"]
-        if not len(p["seen"]):
-            gain, common = np.zeros(1), np.zeros(1)
-        left = np.maximum(c - common[where], 0)
-        rare = np.log((left + PRIOR * np.exp(self.rare)) / (c + PRIOR))
-        divergence = gain[where] + left * (rare - self.rare)
-        state = ok & (divergence >= DIVERGENCE)
-        self.pair = np.zeros(len(self.p))
-        self.pair[p["at"]] = total[p["code"]]
-        seen = np.log((self.pair + PRIOR * np.exp(self.p)) / (c + PRIOR))
-        self.p = np.where(state, np.where(self.common, seen, self.base + rare - self.root), self.p)
-        self.rare = np.where(state, rare, self.rare)
-        self.context, self.inside = p["h"], state
-
-
-def _tell_pairs(level: int):
+            np.add.at(kinds, p["owner"][gcut[k] : gcut[k + 1]], g[1])
+        if not p["n_seen"]:
+            self.pairs, self.inside = (p["kind"], total, p["code"], p["at"]), np.zeros(len(self.p), bool)
+            return
+        where = p["number"][p["own"]]
+        state = p["ok"] & (gain[where] >= DIVERGENCE)
+        mine = np.zeros(len(self.p))
+        mine[p["at"]] = total[p["code"]]
+        some = np.flatnonzero(state)
+        c = p["count"][p["own"][some]]
+        back = np.log(DISCOUNT * kinds[where[some]] / c) + self.p[some]  # what the state leaves to its parent
+        own = mine[some]
+        self.p[some] = np.where(own > 0, np.log(np.exp(back) + np.maximum(own - DISCOUNT, 0) / c), back)
+        self.pairs, self.inside = (p["kind"], total, p["code"], p["at"]), state
+
+
+def _tell_pairs(level: int, n: int, buckets: int):
     def tell(table: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            return answer(table)
+
+    def answer(table: pa.Table) -> pa.Table:
         col = lambda name, w: [unplanes(x.as_buffer(), w) for x in table.column(name).combine_chunks()]
-        raw = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name).combine_chunks()])
-        groups, keys = col("groups", 8), col("keys", 8)
+        flat = lambda name, w: np.concatenate(col(name, w))
+        groups, keys = col("groups", 6), col("keys", KEY)
         gcut, ecut = np.cumsum([0, *map(len, groups)]), np.cumsum([0, *map(len, keys)])
         group, which = np.unique(np.concatenate(groups), return_inverse=True)
         size = np.zeros(len(group))
-        size[which] = raw("sizes", np.float64)
-        kind, first, code = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(code, np.concatenate(col("counts", 4)), len(kind))
-        home = which[np.repeat(np.arange(len(which)), np.concatenate(col("per", 4)).astype(np.int64))[first]]
-        parent = raw("parents", np.float32)[first].astype(np.float64)
-        p = (total + PRIOR * parent) / (size[home] + PRIOR)
-        gain = np.bincount(home, total * np.log(p / parent), len(group))
-        common = np.bincount(home, total, len(group))
+        size[which] = flat("sizes", 5)
+        own = which[np.repeat(np.arange(len(which)), flat("per", 4).astype(np.int64))]
+        key = T.mix(np.concatenate(keys) + group[own])  # a pair is a short hash inside its group
+        kind, first, code = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(code, flat("counts", 4), len(kind))
+        home = own[first]
+        parent = np.exp(flat("parents", 1)[first].astype(np.float64) / -FINE)
+        # a split context's kinds of next token are estimated from those of this part
+        parts = np.maximum(1, np.ceil(size / n * buckets))
+        kinds = np.bincount(home, total > 0, len(group))
+        all_, c = (kinds * parts)[home], np.maximum(size[home], 2)
+        without = (np.maximum(total - 1 - DISCOUNT, 0) + DISCOUNT * np.maximum(all_ - (total == 1), 1e-6) * parent) / (c - 1)
+        gain = np.bincount(home, total * np.log(without / parent), len(group))
         out = total[code].astype(np.uint64)
         return pa.table(
             {"level": pa.array([level] * len(table), pa.int32()), "bucket": table.column("bucket"), "blob": table.column("blob"), "counts": X.binary([planes(out[i:j], 4) for i, j in pairwise(ecut)]),
-             "groups": X.binary([np.stack([gain[which[i:j]], common[which[i:j]]]).tobytes() for i, j in pairwise(gcut)])}
+             "groups": X.binary([np.stack([gain[which[i:j]], kinds[which[i:j]]]).astype(np.float32).tobytes() for i, j in pairwise(gcut)])}
         )
 
     return tell
@@ -227,27 +291,19 @@ def score(docs: DataFrame) -> DataFrame:
     held out. Repeated rows count and come back as often as they came; other columns are ignored. Scores are log10.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = X.with_blob(rows, "doc_id", "text")
     buckets = X.blob_count(rows)
-    asked = rows.groupBy("blob").applyInArrow(_ask_tokens(buckets), "bucket int, blob int, keys binary, counts binary")
+    # both read the documents: a coded table would take more disk than a second reading takes time
+    blobs = rows.mapInArrow(_code, _CODED).repartition("blob")
+    asked = rows.mapInArrow(_ask_tokens(buckets), _ASKED)
     tokens = X.settle(asked.groupBy("bucket").applyInArrow(_tell_tokens, _ANSWER + ", n long, v long"))
     whole = tokens.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"] or 0
-    told = tokens.drop("n", "v")
-    # what the root leaves to rare tokens: each bucket's rare counts, added up
-    def rare_share(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unplanes(x.as_buffer(), 8) for x in table.column("keys").combine_chunks()])
-        counts = np.concatenate([unplanes(x.as_buffer(), 8) for x in table.column("counts").combine_chunks()])
-        kind, code = np.unique(keys, return_inverse=True)
-        total = np.bincount(code, counts, len(kind))
-        big = total[total > 0]
-        return pa.table({"p": pa.array([float(((big + ALPHA) / (n + ALPHA * (v + 1))).sum())])})
-
-    share = 1.0 - (asked.groupBy("bucket").applyInArrow(rare_share, "p double").agg(F.sum("p")).first()[0] or 0.0)
+    X.release(docs.sparkSession)
+    # each level's answers are dealt by blob once: a union of tables dealt alike is not dealt anew
+    told = tokens.drop("n", "v").repartition("blob")
 
     def model(table: pa.Table, told: pa.Table, levels: int) -> _Model:
-        m = _Model(_Blob(table), told, n, v, buckets)
-        m.root_rare(share)
+        m = _Model(_Blob.unpacked(table.to_pylist()[0]), told, n, v, buckets)
         for level in range(1, levels + 1):
             m.learn(level)
         return m
@@ -260,8 +316,8 @@ def score(docs: DataFrame) -> DataFrame:
         return ask
 
     for level in range(1, DEPTH + 1):
-        sent = rows.groupBy("blob").cogroup(told.groupBy("blob")).applyInArrow(asker(level), "bucket int, blob int, groups binary, sizes binary, per binary, keys binary, counts binary, parents binary")
-        told = told.unionByName(sent.groupBy("bucket").applyInArrow(_tell_pairs(level), _ANSWER))
+        sent = blobs.groupBy("blob").cogroup(told.groupBy("blob")).applyInArrow(asker(level), "bucket int, blob long, groups binary, sizes binary, per binary, keys binary, counts binary, parents binary")
+        told = told.unionByName(sent.groupBy("bucket").applyInArrow(_tell_pairs(level, n, buckets), _ANSWER).repartition("blob"))
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         with np.errstate(over="ignore", divide="ignore"):
@@ -273,4 +329,4 @@ def score(docs: DataFrame) -> DataFrame:
              "base_score": pa.array(np.bincount(b.doc, m.base, size) / ten), "score": pa.array(np.bincount(b.doc, m.p, size) / ten)}
         )
 
-    return rows.groupBy("blob").cogroup(told.groupBy("blob")).applyInArrow(finish, _SCORES)
+    return blobs.groupBy("blob").cogroup(told.groupBy("blob")).applyInArrow(finish, _SCORES)
