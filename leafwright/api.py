@@ -133,7 +133,7 @@ class Book:
     def markdown(self, max_tokens: int | None = None, anchors: bool = False, start: int = 0, end: int | None = None) -> dict:
         rows = self.blocks.where(F.col("chapter") >= start)
         rows = rows if end is None else rows.where(F.col("chapter") <= end)
-        r = query.markdown(rows, max_tokens, anchors).first()
+        r = query.markdown(rows, max_tokens, anchors, F.array(*map(F.lit, self.meta["authors"])) if self.meta["authors"] else None).first()
         out = r.asDict() if r else {"text": f"# {self.name}", "truncated": False, "next_chapter": None, "next_anchor": None}
         if end is not None and not out["truncated"] and end + 1 < len(self.chapters):
             out["next_chapter"] = end + 1

@@ -19,3 +19,7 @@ class AnchorError(LeafwrightError):
 
 class TocError(LeafwrightError):
     """A table of contents can't be used."""
+
+
+class PatternError(LeafwrightError):
+    """A search pattern can't be read."""

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwright.errors import PatternError
 from leafwright.functions import text as T
 from leafwright.operators.packing import greedy_pack, split_pieces
 
@@ -80,12 +82,21 @@ def _terms(query: str, mode: str) -> list[str]:
     return [query] if mode == "phrase" else query.split()
 
 
+def _check_pattern(blocks: DataFrame, pattern: str) -> None:
+    """A pattern that can't be read is an error here, before any task runs."""
+    try:
+        blocks.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
+        raise PatternError(f"not a pattern: {pattern!r}") from e
+
+
 def search(blocks: DataFrame, query: str, mode: str = "phrase", ignore_case: bool = True, chapter: int | None = None, limit: int | None = None) -> DataFrame:
     """Blocks that hold a phrase, all terms or a pattern, with the first ``position``; in order, at most ``limit`` (top-k)."""
     rows = blocks if chapter is None else blocks.where(F.col("chapter") == chapter)
     if not query.strip() or (limit is not None and limit <= 0):
         return rows.where("false").withColumn("position", F.lit(0).cast("long"))
     if mode == "regex":
+        _check_pattern(blocks, query)
         pattern = F.lit(("(?iu)" if ignore_case else "") + query)
         rows = rows.where(F.rlike("text", pattern)).withColumn("position", (F.regexp_instr("text", pattern) - 1).cast("long"))
     else:
@@ -104,28 +115,30 @@ def snippet(text: Column, tokens: Column, position: Column, max_tokens: int) ->
     return F.when(tokens <= max_tokens, text).otherwise(marked)
 
 
-def search_many(blocks: DataFrame, phrases: DataFrame, most_phrases: int = 100_000) -> DataFrame:
+def search_many(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
     """All (block, phrase) pairs where the block contains the phrase; ``phrases`` has item_id and phrase.
 
-    Candidates meet by a word: the phrase's longest word (ties: the first) is joined with the blocks' distinct
-    words, so that no block meets all phrases. Blocks are matched in lower case with white space folded.
+    Candidates meet by a key: the phrase's longest inner word (ties: the first) is looked up among the blocks' distinct
+    words; a phrase of one or two words, which may begin or end inside a word, by its first three characters (or all it has)
+    among the blocks' distinct runs of as many characters. Only keys and block numbers are shuffled for that; a block's text is
+    fetched for its candidates. Blocks are matched in lower case with white space folded. Empty phrases match nothing.
     """
     fold = lambda c: F.lower(T.collapse(c))
+    at = ["book", "chapter", "block"]
     asked = phrases.select("item_id", fold(F.col("phrase")).alias("phrase")).where("phrase <> ''")
     inner = F.split("phrase", " ")
     # only words inside the phrase are whole words of the block
     whole = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    key = F.get(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    asked = asked.withColumn("word", key)
-    rows = blocks.withColumn("low", fold(F.col("text")))
-    words = rows.select("book", "chapter", "block", "low", F.explode(F.array_distinct(F.split("low", " "))).alias("word"))
-    long_ = words.join(asked.where("word IS NOT NULL"), "word").where(F.col("low").contains(F.col("phrase"))).select("book", "chapter", "block", "item_id")
-    short = [r["phrase"] for r in asked.where("word IS NULL").select("phrase").limit(1).collect()]
-    if not short:
-        return long_
-    few = asked.where("word IS NULL")
-    pairs = rows.join(F.broadcast(few.limit(most_phrases)), F.col("low").contains(F.col("phrase"))).select("book", "chapter", "block", "item_id")
-    return long_.unionByName(pairs)
+    word = F.get(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    asked = asked.withColumn("key", F.coalesce(F.concat(F.lit("w"), word), F.concat(F.lit("c"), F.substring("phrase", 1, 3))))
+    rows = blocks.select(*at, fold(F.col("text")).alias("low"))
+    keys = F.transform(F.split("low", " "), lambda w: F.concat(F.lit("w"), w))
+    short = [r["n"] for r in asked.where("key LIKE 'c%'").select((F.length("key") - 1).alias("n")).distinct().collect()]  # 1, 2 or 3
+    for n in sorted(short):
+        places = F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>"))
+        keys = F.concat(keys, F.transform(places, lambda k: F.concat(F.lit("c"), F.substring(F.col("low"), k, F.lit(n)))))  # noqa: B023
+    found = rows.select(*at, F.explode(F.array_distinct(keys)).alias("key")).join(asked, "key").select(*at, "item_id", "phrase")
+    return found.join(rows, at).where(F.col("low").contains(F.col("phrase"))).select(*at, "item_id")
 
 
 def read(blocks: DataFrame, budget: int) -> DataFrame:
@@ -169,26 +182,35 @@ def chunks(blocks: DataFrame, max_tokens: int = 800, overlap: int = 0) -> DataFr
     A block costs its rendered tokens and one for the break. A block over the budget gives one chunk per piece. With an
     overlap a chunk begins with the last blocks of the one before it and can be over the budget by these.
     """
-    rows = blocks.where("NOT dedup").withColumn("piece", render(F.col("kind"), F.col("level"), F.col("text"))).where("trim(piece) <> ''")
-    rows = rows.withColumn("cost", T.count_tokens(F.col("piece")) + 1).select("book", "chapter", "title", "block", "kind", "text", "piece", "cost")
+    notes = F.col("footnotes") if "footnotes" in blocks.columns else None
+    extra = [c for c in ("page", "grp") if c in blocks.columns]
+    rows = blocks.where("NOT dedup").withColumn("piece", render(F.col("kind"), F.col("level"), F.col("text"), notes)).where("trim(piece) <> ''")
+    rows = rows.withColumn("cost", T.count_tokens(F.col("piece")) + 1).select("book", "chapter", "title", "block", "kind", "text", "piece", "cost", *extra)
     packed = greedy_pack(rows, ["book", "chapter", "title"], ["block"], "cost", max_tokens, overlap)
     body = F.array_join(F.transform("items", lambda r: r["piece"]), "\n\n")
     texts = F.when(F.col("big"), split_pieces(body, max_tokens)).otherwise(F.array(body))
     out = packed.withColumn("section", F.coalesce(F.get(F.filter("items", lambda r: r["kind"] == "heading"), F.lit(0))["text"], F.col("title")))
-    out = out.select("book", "chapter", "title", "chunk", "section", F.get("items", F.lit(0))["block"].alias("b0"), F.element_at("items", -1)["block"].alias("b1"), F.posexplode(texts).alias("piece", "text"))
+    pages = F.filter(F.transform("items", lambda r: r["page"]), lambda p: p.isNotNull()) if "page" in extra else None
+    more = [F.get(pages, F.lit(0)).alias("page_start"), F.get(pages, F.size(pages) - 1).alias("page_end")] if "page" in extra else []
+    group = [F.get("items", F.lit(0))["grp"].alias("grp")] if "grp" in extra else []
+    out = out.select("book", "chapter", "title", "chunk", "section", F.get("items", F.lit(0))["block"].alias("b0"), F.element_at("items", -1)["block"].alias("b1"), *more, *group, F.posexplode(texts).alias("piece", "text"))
     # a chunk's number within its chapter, in order of (range, piece)
     order = Window.partitionBy("book", "chapter").orderBy("chunk", "piece")
+    trail = [F.col("book"), *([F.col("grp")] if group else []), F.col("title"), F.col("section")]
     return out.select(
         "book", "chapter", (F.row_number().over(order) - 1).cast("long").alias("chunk"), T.anchor(F.col("chapter"), F.col("b0")).alias("anchor"), T.anchor(F.col("chapter"), F.col("b1")).alias("anchor_end"),
-        "section", breadcrumb(F.col("book"), F.col("title"), F.col("section")).alias("breadcrumb"), "text", T.count_tokens(F.col("text")).alias("tokens"),
+        "section", breadcrumb(*trail).alias("breadcrumb"), "text", T.count_tokens(F.col("text")).alias("tokens"), *(["page_start", "page_end"] if more else []),
     )
 
 
-def markdown(blocks: DataFrame, budget: int | None = None, anchors: bool = False) -> DataFrame:
+def markdown(blocks: DataFrame, budget: int | None = None, anchors: bool = False, authors: Column | None = None) -> DataFrame:
     """One Markdown text per book. The budget counts the title and the blocks; the first block that does not fit ends the book,
-    with a mark. ``next_chapter`` is the chapter where that happened."""
-    rows = blocks.where("NOT dedup AND trim(text) <> ''").withColumn("piece", render(F.col("kind"), F.col("level"), F.col("text"))).withColumn("cost", T.count_tokens(F.col("piece")))
+    with a mark. ``next_chapter`` is the chapter where that happened. ``authors`` (an array) go under the title."""
+    notes = F.col("footnotes") if "footnotes" in blocks.columns else None
+    rows = blocks.where("NOT dedup AND trim(text) <> ''").withColumn("piece", render(F.col("kind"), F.col("level"), F.col("text"), notes)).withColumn("cost", T.count_tokens(F.col("piece")))
     head = F.concat(F.lit("# "), F.col("book"))
+    if authors is not None:
+        head = F.when(F.size(authors) > 0, F.concat(head, F.lit("\n\n*"), F.array_join(authors, ", "), F.lit("*"))).otherwise(head)
     order = Window.partitionBy("book").orderBy("chapter", "block")
     rows = rows.withColumn("run", F.sum("cost").over(order) + T.count_tokens(head))
     rows = rows.withColumn("fits", (F.col("run") <= budget) if budget is not None else F.lit(True))

@@ -104,10 +104,16 @@ def chapter_starts(toc: DataFrame, spine: DataFrame) -> DataFrame:
     return own.withColumn("_n", F.row_number().over(Window.partitionBy("book", "path", "fragment").orderBy("ord"))).where("_n = 1").drop("_n", "_low")
 
 
-def resolve_cuts(starts: DataFrame, ids: DataFrame, keys: Sequence[str], id_: str, position: str) -> DataFrame:
-    """Where in its document each start is: at its fragment's block, or at 0 if that is unknown. One start per place."""
-    found = starts.join(ids.select(*keys, id_, position), [*keys, id_], "left").withColumn(position, F.coalesce(position, F.lit(0).cast("long")))
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, position).orderBy(id_))).where("_n = 1").drop("_n")
+def resolve_cuts(starts: DataFrame, ids: DataFrame, keys: Sequence[str], id_: str, position: str, order: str) -> DataFrame:
+    """Where in its document (``keys``) each start is: at 0 without a fragment, else at its fragment's block.
+
+    A start whose fragment is unknown goes, but for a document's first one where no start of it is known: that is at 0. Of several
+    starts at one place the first by ``order`` stays.
+    """
+    known = starts.join(ids.select(*keys, id_, position), [*keys, id_], "left").withColumn("_hit", (F.col(id_) == "") | F.col(position).isNotNull())
+    known = known.withColumns({"_any": F.max("_hit").over(Window.partitionBy(*keys)), "_n": F.row_number().over(Window.partitionBy(*keys).orderBy(order))})
+    known = known.where("_hit OR (NOT _any AND _n = 1)").withColumn(position, F.coalesce(position, F.lit(0).cast("long")))
+    return known.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, position).orderBy(order))).where("_n = 1").drop("_n", "_hit", "_any")
 
 
 def toc_sections(toc: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame:

@@ -208,12 +208,15 @@ def search_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    r""", p AS (SELECT item_id, lower(trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\n\f\v\x{00a0}\x{3000}]+', ' ', 'g'))) AS phrase FROM benchmark)
-SELECT book, chapter, block, item_id FROM blocks JOIN p ON phrase <> '' AND contains(lower(blocks.text), phrase)"""
+    r""", l AS (SELECT item_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r\n\f\v\x{00a0}\x{3000}]+', ' ', 'g')) AS line FROM benchmark),
+p AS (SELECT item_id, lower(line) AS phrase FROM l WHERE line <> '' UNION SELECT item_id, lower(regexp_extract(line, '[^ ]+ [^ ]+$')) FROM l)
+SELECT book, chapter, block, item_id, count(*) AS n FROM blocks JOIN p ON phrase <> '' AND contains(lower(blocks.text), phrase) GROUP BY ALL"""
 )
 def search_multi(spark: SparkSession, d: str) -> DataFrame:
-    phrases = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("phrase"))
-    return query.search_many(_blocks(spark, d), phrases)
+    """Every line of every benchmark text, and the last two words of each, over all blocks."""
+    lines = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).select("item_id", T.collapse(F.col("line")).alias("phrase"))
+    phrases = lines.unionByName(lines.select("item_id", F.regexp_extract("phrase", "[^ ]+ [^ ]+$", 0).alias("phrase"))).select("item_id", F.lower("phrase").alias("phrase")).distinct()
+    return query.search_many(_blocks(spark, d), phrases).groupBy("book", "chapter", "block", "item_id").agg(F.count("*").alias("n"))
 
 
 # ---- reading, chunks, Markdown ----------------------------------------------
@@ -429,13 +432,26 @@ def choose_toc(spark: SparkSession, d: str) -> DataFrame:
     return structure.choose_toc(_toc(spark, d).withColumn("src", F.when(F.col("depth") == 0, "nav").otherwise("ncx"))).select("book", "src")
 
 
-@_query(""", want AS (SELECT book, chapter, 'h' || (chapter % 7) AS id FROM blocks GROUP BY ALL), ids AS (SELECT chapter, 'h' || level AS id, min(block) AS at FROM blocks GROUP BY ALL)
-SELECT w.book, w.chapter, CAST(coalesce(i.at, 0) AS BIGINT) AS block FROM want w LEFT JOIN ids i ON i.chapter = w.chapter AND i.id = w.id""")
+@_query("""SELECT book, chapter, block, ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY book, chapter, block ORDER BY ord) AS k FROM (
+    SELECT book, chapter, ord, CASE WHEN id = '' THEN 0 ELSE coalesce(pos, 0) END AS block FROM (
+      SELECT *, bool_or(id = '' OR pos IS NOT NULL) OVER (PARTITION BY book, chapter) AS hit, row_number() OVER (PARTITION BY book, chapter ORDER BY ord) AS n FROM (
+        SELECT s.book, s.chapter, s.ord, s.id, i.pos FROM (
+          SELECT book, chapter, CAST(o AS BIGINT) AS ord, CASE WHEN (chapter + o) % 5 = 0 AND chapter % 3 = 0 THEN '' ELSE 'h' || ((chapter + o) % 7) END AS id
+          FROM (SELECT DISTINCT book, chapter FROM blocks), (SELECT unnest([0, 1, 2]) AS o)
+        ) s LEFT JOIN (SELECT book, chapter, 'h' || level AS id, min(block) AS pos FROM blocks GROUP BY ALL) i ON i.book = s.book AND i.chapter = s.chapter AND i.id = s.id
+      )
+    ) WHERE id = '' OR pos IS NOT NULL OR (NOT hit AND n = 1)
+  )
+) WHERE k = 1""")
 def resolve_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Three starts for each document: some without a fragment, some known, some not, some at one place."""
     b = _blocks(spark, d)
-    starts = b.select("book", "chapter").distinct().withColumn("id", F.concat(F.lit("h"), F.col("chapter") % 7))
-    ids = structure.first_positions(b.withColumn("id", F.concat(F.lit("h"), "level")), ["chapter", "id"], "block")
-    return structure.resolve_cuts(starts, ids, ["chapter"], "id", "block").select("book", "chapter", "block")
+    starts = b.select("book", "chapter").distinct().select("book", "chapter", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))).alias("ord"))
+    bare = ((F.col("chapter") + F.col("ord")) % 5 == 0) & (F.col("chapter") % 3 == 0)
+    starts = starts.withColumn("id", F.when(bare, "").otherwise(F.concat(F.lit("h"), ((F.col("chapter") + F.col("ord")) % 7).cast("string"))))
+    ids = structure.first_positions(b.withColumn("id", F.concat(F.lit("h"), F.col("level").cast("string"))), ["book", "chapter", "id"], "block")
+    return structure.resolve_cuts(starts, ids, ["book", "chapter"], "id", "block", "ord").select("book", "chapter", "block", "ord")
 
 
 @_query("SELECT event_type AS message, min(event_id) AS ord FROM events GROUP BY 1 ORDER BY 2 LIMIT 40", False)

@@ -84,7 +84,7 @@ def _protected(archive: Archive) -> bool:
         method = data.find("encryptionmethod")
         scheme = method.attrs.get("algorithm", "") if method else ""
         uri = next((n.attrs.get("uri", "") for n in data.all("cipherreference")), "")
-        if scheme not in FONT_SCHEMES and not re.search(r"\.(otf|ttf|woff2?)$", uri, re.I):
+        if scheme not in FONT_SCHEMES and not re.search(r"\.(otf|ttf|ttc|eot|woff2?)$", uri, re.I):
             return True
     return False
 
@@ -194,6 +194,7 @@ def _rows(archive: Archive, container: M.Node, container_only: bool) -> Iterator
         yield s
     if container_only:
         return
+    labels: dict[str, dict[str, str]] = {}
     nav = next((m for m in manifest.values() if "nav" in m["extra"].split()), None)
     ncx = manifest.get(spine_node.attrs.get("toc", "")) if spine_node is not None else None
     ncx = ncx or next((m for m in manifest.values() if "dtbncx" in m["kind"]), None)
@@ -206,6 +207,8 @@ def _rows(archive: Archive, container: M.Node, container_only: bool) -> Iterator
         found, pages = _nav(tree, posixpath.dirname(entry["path"])) if src == "nav" else (_ncx(tree, posixpath.dirname(entry["path"])), [])
         for ord_, e in enumerate(found):
             yield {"record": "toc", "kind": src, "ord": ord_, **e}
+        for e in pages:  # entries of a page list, the first of each place
+            labels.setdefault(e["path"], {}).setdefault(e["id"], e["text"])
         for ord_, e in enumerate(pages):
             yield {"record": "page", "ord": ord_, "path": e["path"], "id": e["id"], "text": e["text"]}
     apart = {m["path"] for m in (nav, ncx) if m}
@@ -216,7 +219,7 @@ def _rows(archive: Archive, container: M.Node, container_only: bool) -> Iterator
         if raw is None:
             yield {"record": "warning", "text": f"missing document: {s['path']}", "ord": s["pos"] + 1}
             continue
-        for r in M.records(s["path"], M.decode(raw)):
+        for r in M.records(s["path"], M.decode(raw), {**labels.get("", {}), **labels.get(s["path"], {})}):
             yield {**r, "ord": s["pos"]}
 
 
@@ -264,10 +267,7 @@ def build(rows: DataFrame) -> dict[str, DataFrame]:
     # starts: by the table of contents; by headings if it has none, or one only where headings have more
     ids = of(rows, "id").groupBy("book", "path", "id").agg(F.min("pos").alias("block_pos"))
     by_toc = structure.chapter_starts(toc, spine).select("book", "path", F.col("fragment").alias("id"), "title", "depth", F.array_join("ancestors", " > ").alias("grp"), "ord")
-    known = by_toc.join(ids, ["book", "path", "id"], "left").withColumn("hit", (F.col("id") == "") | F.col("block_pos").isNotNull())
-    firsts = known.withColumns({"any": F.max("hit").over(Window.partitionBy("book", "path")), "n": F.row_number().over(Window.partitionBy("book", "path").orderBy("ord"))})
-    by_toc = firsts.where("hit OR (NOT any AND n = 1)").withColumn("block_pos", F.coalesce("block_pos", F.lit(0).cast("long")))
-    by_toc = by_toc.withColumn("k", F.row_number().over(Window.partitionBy("book", "path", "block_pos").orderBy("ord"))).where("k = 1").select("book", "path", "block_pos", "title", "depth", "grp")
+    by_toc = structure.resolve_cuts(by_toc, ids, ["book", "path"], "id", "block_pos", "ord").select("book", "path", "block_pos", "title", "depth", "grp")
     low = raw.where("kind = 'heading'").withColumn("low", F.min("level").over(Window.partitionBy("book", "path"))).where("level = low AND low <= 2")
     by_heading = low.select("book", "path", "block_pos", F.col("text").alias("title"), F.lit(0).cast("long").alias("depth"), F.lit("").alias("grp"))
     n_toc, n_head = (d.groupBy("book").agg(F.count("*").alias(n)) for d, n in ((by_toc, "nt"), (by_heading, "nh")))
@@ -293,7 +293,7 @@ def build(rows: DataFrame) -> dict[str, DataFrame]:
     title = F.coalesce(F.nullif(F.col("toc_title"), F.lit("")), F.col("head"), F.when(F.col("pictures"), "Cover"), F.concat(F.lit("Untitled section "), (F.col("chapter") + 1).cast("string")))
     heads = heads.select("book", "seg", "chapter", title.alias("title"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("grp", F.lit("")).alias("grp"), "title_from_toc", "paths").persist()
     body = segs.drop("title", "depth", "grp", "from_toc", "start").join(heads.select("book", "seg", "chapter", "title", "grp"), ["book", "seg"])
-    body = _notes(body, notes)
+    body, missing_notes = _notes(body, notes)
     body = rescue.split_blocks(body.withColumn("tokens", T.count_tokens(F.col("text"))).persist())
     order = Window.partitionBy("book", "chapter").orderBy("spine_pos", "block_pos", "piece")
     body = body.withColumn("block", (F.row_number().over(order) - 1).cast("long"))
@@ -302,12 +302,22 @@ def build(rows: DataFrame) -> dict[str, DataFrame]:
     return {
         "blocks": body.select("book", "chapter", "title", "grp", "block", "anchor", "kind", "level", "dedup", "text", "tokens", "page", "footnotes", "src_path", "src_id"),
         "chapters": heads.drop("seg").withColumn("anchor", T.anchor(F.col("chapter"))), "toc": toc, "notes": notes,
-        "warnings": structure.dedupe_warnings(of(rows, "warning").select("book", F.col("text").alias("message"), "ord")),
+        "warnings": structure.dedupe_warnings(of(rows, "warning").select("book", F.col("text").alias("message"), "ord").unionByName(_structure_warnings(choice)).unionByName(missing_notes)),
     }
 
 
-def _notes(body: DataFrame, notes: DataFrame) -> DataFrame:
-    """Placeholders become ``[^n]``, numbered by first reference in the book, or what they showed; adds ``footnotes``."""
+_LATE = 1 << 40  # warnings of a whole book come after those of its files
+
+
+def _structure_warnings(choice: DataFrame) -> DataFrame:
+    """Books whose chapters start at headings, and why."""
+    said = F.when(F.col("nt") == 0, "no TOC: chapters start at headings").otherwise("the TOC is a stub: chapters start at headings")
+    return choice.where("headings").select("book", said.alias("message"), F.lit(_LATE).alias("ord"))
+
+
+def _notes(body: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Placeholders become ``[^n]``, numbered by first reference in the book, or what they showed; adds ``footnotes``. And a warning
+    for each reference to a note that is not there."""
     shape = f"{M.OPEN}([!?])([^{M.MIDDLE}]*){M.MIDDLE}([^{M.SHUT}]*){M.SHUT}"
     refs = body.where(F.col("text").contains(M.OPEN)).select("book", "chapter", "spine_pos", "block_pos", "path", F.posexplode(F.regexp_extract_all("text", F.lit(f"{M.OPEN}[^{M.SHUT}]*{M.SHUT}"), F.lit(0))).alias("nth", "mark"))
     refs = refs.select("*", (F.regexp_extract("mark", shape, 1) == "!").alias("forced"), T.resolve_href(F.regexp_extract("path", "^(.*)/", 1), F.regexp_extract("mark", shape, 2)).alias("to"))
@@ -325,4 +335,5 @@ def _notes(body: DataFrame, notes: DataFrame) -> DataFrame:
     numbered = F.aggregate("u", F.col("text"), lambda a, x: F.replace(a, x["mark"], F.concat(F.lit("[^"), x["number"].cast("string"), F.lit("]"))))
     text = F.when(F.col("u").isNotNull(), numbered).otherwise(F.col("text"))
     listed = F.array_distinct(F.transform("u", lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text"))))
-    return out.withColumns({"text": F.regexp_replace(text, shape, "$3"), "footnotes": F.coalesce(listed, F.array().cast("array<struct<number:int,text:string>>"))}).drop("u")
+    lost = used.where("said IS NULL").groupBy("book", "to_path", "id").agg(F.min("number").alias("n")).select("book", F.concat(F.lit("note without a body: "), "to_path", F.lit("#"), "id").alias("message"), (F.col("n") + _LATE).cast("long").alias("ord"))
+    return out.withColumns({"text": F.regexp_replace(text, shape, "$3"), "footnotes": F.coalesce(listed, F.array().cast("array<struct<number:int,text:string>>"))}).drop("u"), lost

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,6 +25,8 @@ ITEMS = frozenset("li dd dt".split())
 BLOCKS = frozenset((*HEADINGS, *TEXTS, *ITEMS, *"table hr figure div section article aside ul ol dl thead tbody tfoot tr main header footer body html address form nav".split()))
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 FENCES = frozenset("table ul ol dl div section article aside main body html".split())
+MAX_DEPTH = 150
+NOTE_HOLDERS = ("footnote", "endnote", "rearnote")
 NOTEREF_HINTS = ("noteref", "note-ref", "fnref", "fn-ref", "footnoteref")
 _WHITE = re.compile("[ \t\r\n\f\v 　]+")
 OPEN, MIDDLE, SHUT = "", "", ""
@@ -38,10 +41,12 @@ class Node:
         self.tag, self.attrs, self.up, self.children = tag, attrs, up, []
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
+        """The element and all below it, in order."""
+        left = [self]
+        while left:
+            n = left.pop()
+            yield n
+            left.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
     def find(self, *tags: str) -> Node | None:
         return next((n for n in self.walk() if n.tag in tags), None)
@@ -50,7 +55,14 @@ class Node:
         return [n for n in self.walk() if n.tag == tag]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, left = [], self.children[::-1]
+        while left:
+            c = left.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                left.extend(reversed(c.children))
+        return "".join(out)
 
     def kind(self) -> str:
         """The element's ``epub:type``."""
@@ -61,13 +73,14 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.depth, self.flat = 0, Counter()  # elements below MAX_DEPTH stay empty, and their end tags close nothing
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         tag = tag.rpartition(":")[2]
         e = self.at
         while e.up is not None and e.tag not in FENCES:
             if tag in CLOSED_BY.get(e.tag, ()):
-                self.at = e.up
+                self._leave(e)
                 break
             e = e.up
         own: dict[str, str] = {}
@@ -76,19 +89,30 @@ class _Builder(HTMLParser):
         node = Node(tag, own, self.at)
         self.at.children.append(node)
         if tag not in VOID:
-            self.at = node
+            if self.depth < MAX_DEPTH:
+                self.at, self.depth = node, self.depth + 1
+            else:
+                self.flat[tag] += 1
+
+    def _leave(self, e: Node) -> None:
+        while self.at is not e:
+            self.at, self.depth = self.at.up, self.depth - 1
+        self.at, self.depth = e.up, self.depth - 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag.rpartition(":")[2] not in VOID:
-            self.at = self.at.up
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         tag, e = tag.rpartition(":")[2], self.at
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+            return
         while e.up is not None and e.tag != tag:
             e = e.up
         if e.up is not None:
-            self.at = e.up
+            self._leave(e)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -111,7 +135,7 @@ def decode(raw: bytes) -> str:
 
 
 def parse(text: str) -> Node:
-    """The tree of any text; never fails. Declarations and processing instructions are left out, entities are never expanded."""
+    """The tree of any text; never fails. Below ``MAX_DEPTH`` elements lie side by side. Declarations and processing instructions are left out, entities are never expanded."""
     b = _Builder()
     b.feed(re.sub(r"<\?.*?\?>", "", text, flags=re.S))
     b.close()
@@ -138,10 +162,19 @@ def note_kind(node: Node) -> str:
 class Extractor:
     """Rows of one document: blocks, first places of ids, bodies of notes, page marks."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, labels: dict[str, str] | None = None) -> None:
         self.path, self.rows = path, []
         self.blocks = 0
         self.page: str | None = None
+        self.labels = dict(labels or {})  # page labels by id: of a page list first, then of page breaks
+
+    def page_breaks(self, root: Node) -> None:
+        for n in root.walk():
+            if "pagebreak" in n.attrs.get("epub:type", "") or n.attrs.get("role") == "doc-pagebreak":
+                at = n.attrs.get("id") or n.attrs.get("href", "").rpartition("#")[2]
+                said = n.attrs.get("title") or n.attrs.get("aria-label") or collapse(n.text())
+                if at and said:
+                    self.labels.setdefault(at, said)
 
     def _emit(self, kind: str, text: str, level: int = 0, node: Node | None = None, raw: str = "") -> None:
         inside = []
@@ -153,14 +186,21 @@ class Extractor:
         self.rows.append({"record": "block", "path": self.path, "pos": self.blocks, "kind": kind, "level": level, "text": text, "page": self.page, "id": node.attrs.get("id", "") if node is not None else "", "inside": inside, "raw": raw})
         self.blocks += 1
 
-    def _enter(self, node: Node) -> None:
+    def _note(self, node: Node, kind: str) -> None:
+        self.rows.append({"record": "note", "path": self.path, "pos": self.blocks, "id": node.attrs["id"], "kind": kind, "text": collapse(node.text())})
+
+    def _enter(self, node: Node, inline: bool = False) -> None:
+        """An element's id, page and note. A page starts where its element stands among blocks; inside a block's text it starts nothing."""
         if "id" in node.attrs:
             self.rows.append({"record": "id", "path": self.path, "pos": self.blocks, "id": node.attrs["id"]})
-        kind = node.attrs.get("epub:type", "")
-        if "pagebreak" in kind or node.attrs.get("role") == "doc-pagebreak":
-            self.page = node.attrs.get("title") or node.attrs.get("aria-label") or collapse(node.text()) or self.page
+            if not inline:
+                self.page = self.labels.get(node.attrs["id"], self.page)
         if (note := note_kind(node)) and "id" in node.attrs:
-            self.rows.append({"record": "note", "path": self.path, "pos": self.blocks, "id": node.attrs["id"], "kind": note, "text": collapse(node.text())})
+            self._note(node, note)
+        if any(w in node.attrs.get("class", "").lower() for w in NOTE_HOLDERS):
+            for c in node.children:
+                if isinstance(c, Node) and "id" in c.attrs and not note_kind(c):
+                    self._note(c, "strong")
 
     def inline(self, node: Node) -> tuple[str, str]:
         """(text, raw) of an element without the blocks inside it; raw is kept where it has line breaks."""
@@ -173,7 +213,7 @@ class Extractor:
                     continue
                 if c.tag in BLOCKS or c.tag in SKIPPED:
                     continue
-                self._enter(c)
+                self._enter(c, inline=True)
                 if c.tag == "br":
                     out.append(" ")
                 elif c.tag in ("img", "image"):
@@ -211,6 +251,9 @@ class Extractor:
             if c.tag in SKIPPED:
                 continue
             if c.tag not in BLOCKS and c.tag not in ("img", "image", "svg") and not any(n.tag in BLOCKS for n in c.walk()):
+                if c.attrs.get("id") in self.labels:
+                    flush()
+                    self.page = self.labels[c.attrs["id"]]
                 stray.append(c)
                 continue
             flush()
@@ -272,10 +315,11 @@ class Extractor:
         self._emit("table", "\n".join(lines), node=c)
 
 
-def records(path: str, markup: str) -> list[dict]:
-    """All rows of one document."""
+def records(path: str, markup: str, labels: dict[str, str] | None = None) -> list[dict]:
+    """All rows of one document; ``labels`` are the page labels that a page list gives to its ids."""
     root = parse(markup)
-    e = Extractor(path)
+    e = Extractor(path, labels)
+    e.page_breaks(root)
     e.walk(root.find("body") or root)
     return e.rows
 

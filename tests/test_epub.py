@@ -52,6 +52,32 @@ def test_notes_leave_the_prose_and_are_numbered(built):
     assert not any("The note." in b["text"] for b in blocks)
 
 
+def test_markup_of_any_depth():
+    import time
+
+    from leafwright.sources import markup
+
+    begun = time.process_time()
+    rows = markup.records("x", "<div>" * 20_000 + "<p>deep</p>" + "</div>" * 20_000 + "<p>after</p>")
+    assert [r["text"] for r in rows if r["record"] == "block"] == ["deep", "after"] and time.process_time() - begun < 20
+
+
+def test_page_marks_and_note_holders():
+    from leafwright.sources import markup
+
+    page = '<p id="a">zero <span epub:type="pagebreak" id="p7" title="7"/> still</p><p>same</p><div id="p8"><p>eight</p></div><span epub:type="pagebreak" id="p9">9</span><p>nine<a href="#n1">1</a></p><div class="footnotes"><p id="n1">The note.</p></div>'
+    rows = markup.records("x", f"<body>{page}</body>", {"p8": "viii"})
+    assert [(r["text"].split()[0][:4], r["page"]) for r in rows if r["record"] == "block"][:4] == [("zero", None), ("same", None), ("eigh", "viii"), ("9", "9")]
+    assert [(r["id"], r["kind"], r["text"]) for r in rows if r["record"] == "note"] == [("n1", "strong", "The note.")]
+
+
+def test_warnings(built):
+    got = {}
+    for r in built["warnings"].orderBy("book", "ord").collect():
+        got.setdefault(r["book"], []).append(r["message"])
+    assert "stub" in got["stub"][0] and "clean" not in got and "split" not in got
+
+
 def test_pages_ruby_and_tables(built):
     blocks = built["blocks"].where("book = 'clean' AND chapter = 1").orderBy("block").collect()
     by = {b["text"]: b for b in blocks}

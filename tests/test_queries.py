@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__
 from leafwright.plans import catalogue
 
-FEW = ("token_count", "char_counts", "block_extract_lines", "anchor_parse", "book_stats", "outline_sections", "search_phrase", "search_snippet", "read_budget", "next_anchor", "chunks_pack", "chunks_overlap", "split_long_text", "toc_ancestors", "chapter_starts", "rescue_cut", "markdown_budget", "footnote_number", "href_resolve")
+FEW = ("token_count", "char_counts", "block_extract_lines", "anchor_parse", "book_stats", "outline_sections", "search_phrase", "search_snippet", "read_budget", "next_anchor", "chunks_pack", "chunks_overlap", "split_long_text", "toc_ancestors", "chapter_starts", "rescue_cut", "markdown_budget", "footnote_number", "href_resolve", "resolve_cuts", "search_multi")
 
 
 def plain(df: pd.DataFrame) -> list:

@@ -53,3 +53,25 @@ def test_read_budget_all_returns_cut_chapters(spark, sf):
     got = {(r["book"], r["chapter"]): (r["blocks_read"], r["truncated"], r["cut_first"], r["next_anchor"], r["digest"]) for r in catalogue.queries()["read_budget_all"](spark, sf).collect()}
     assert any(x[2] for x in want.values())
     assert got == want
+
+
+def test_many_phrases_against_brute_force(spark):
+    """Phrases of one and two words, inside words and across them, and phrases that match nothing."""
+    from leafwright.operators import query
+
+    texts = ["the Cat sat on a mat", "concat ca t", "", "x", "a  b   c d", "cats at mats", "ab"]
+    phrases = ["cat", "cat s", "CAT SAT ON", "at", "x", "a b", "b c d", "zz", "", "a", "t on a m"]
+    blocks = spark.createDataFrame([("k", 0, i, t) for i, t in enumerate(texts)], "book string, chapter long, block long, text string")
+    got = {(r["block"], r["item_id"]) for r in query.search_many(blocks, spark.createDataFrame(list(enumerate(phrases)), "item_id long, phrase string")).collect()}
+    fold = lambda s: " ".join(s.lower().split())
+    assert got == {(i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p and fold(p) in fold(t)}
+
+
+def test_a_bad_pattern_is_an_error_of_ours(spark):
+    import pytest
+
+    from leafwright.errors import PatternError
+    from leafwright.operators import query
+
+    with pytest.raises(PatternError):
+        query.search(spark.createDataFrame([("k", 0, 0, "t")], "book string, chapter long, block long, text string"), "(", "regex")
