@@ -118,9 +118,10 @@ def snippet(text: Column, tokens: Column, position: Column, max_tokens: int) ->
 def search_many(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
     """All (block, phrase) pairs where the block contains the phrase; ``phrases`` has item_id and phrase.
 
-    Candidates meet by a key: the phrase's longest inner word (ties: the first) is looked up among the blocks' distinct
-    words; a phrase of one or two words, which may begin or end inside a word, by its first three characters (or all it has)
-    among the blocks' distinct runs of as many characters. Only keys and block numbers are shuffled for that; a block's text is
+    Candidates meet by a key. Of a phrase of three words and more that is its longest inner word (ties: the first), looked up
+    among the blocks' distinct words. A phrase of two words may begin and end inside words: its key is what stands on both
+    sides of the space, up to three characters each. A phrase of one word may stand anywhere: its key is its first three
+    characters, or all it has. Only keys and block numbers are shuffled for that; a block's text is
     fetched for its candidates. Blocks are matched in lower case with white space folded. Empty phrases match nothing.
     """
     fold = lambda c: F.lower(T.collapse(c))
@@ -130,14 +131,28 @@ def search_many(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
     # only words inside the phrase are whole words of the block
     whole = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
     word = F.get(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    asked = asked.withColumn("key", F.coalesce(F.concat(F.lit("w"), word), F.concat(F.lit("c"), F.substring("phrase", 1, 3))))
-    rows = blocks.select(*at, fold(F.col("text")).alias("low"))
-    keys = F.transform(F.split("low", " "), lambda w: F.concat(F.lit("w"), w))
-    short = [r["n"] for r in asked.where("key LIKE 'c%'").select((F.length("key") - 1).alias("n")).distinct().collect()]  # 1, 2 or 3
-    for n in sorted(short):
-        places = F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>"))
-        keys = F.concat(keys, F.transform(places, lambda k: F.concat(F.lit("c"), F.substring(F.col("low"), k, F.lit(n)))))  # noqa: B023
-    found = rows.select(*at, F.explode(F.array_distinct(keys)).alias("key")).join(asked, "key").select(*at, "item_id", "phrase")
+    left, right = F.least(F.length(F.get(inner, F.lit(0))), F.lit(3)), F.least(F.length(F.get(inner, F.lit(1))), F.lit(3))
+    edge = F.concat(F.right(F.get(inner, F.lit(0)), left), F.lit(" "), F.substring(F.get(inner, F.lit(1)), F.lit(1), right))
+    kind = F.when(F.size(inner) > 2, "w").when(F.size(inner) == 2, F.concat(F.lit("b"), left.cast("string"), right.cast("string"))).otherwise(F.concat(F.lit("c"), F.least(F.length("phrase"), F.lit(3)).cast("string")))
+    asked = asked.withColumn("kind", kind).withColumn("key", F.concat("kind", F.when(F.size(inner) > 2, word).when(F.size(inner) == 2, edge).otherwise(F.substring("phrase", 1, 3))))
+    # generators keep the folded text and its words from being worked out again wherever they are used
+    rows = blocks.select(*at, F.explode(F.array(fold(F.col("text")))).alias("low"))
+    keyed, words, parts = rows.select(*at, "low", F.explode(F.array(F.split("low", " "))).alias("words")), F.col("words"), []
+    for name in sorted(r["kind"] for r in asked.select("kind").distinct().collect()):  # 13 kinds at most
+        tag = F.lit(name)
+        if name == "w":
+            parts.append(F.transform(words, lambda w: F.concat(tag, w)))  # noqa: B023
+        elif name[0] == "b":
+            m, n = int(name[1]), int(name[2])
+            pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda x, y: F.concat(tag, F.right(x, F.lit(m)), F.lit(" "), F.substring(y, 1, n)))  # noqa: B023
+            parts.append(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+        else:
+            n = int(name[1])
+            places = F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(places, lambda k: F.concat(tag, F.substring(F.col("low"), k, F.lit(n)))))  # noqa: B023
+    if not parts:
+        return rows.join(asked, F.lit(False)).select(*at, "item_id")
+    found = keyed.select(*at, F.explode(F.array_distinct(F.concat(*parts))).alias("key")).join(asked, "key").select(*at, "item_id", "phrase")
     return found.join(rows, at).where(F.col("low").contains(F.col("phrase"))).select(*at, "item_id")
 
 

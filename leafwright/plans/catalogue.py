@@ -209,13 +209,13 @@ def search_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     r""", l AS (SELECT item_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r\n\f\v\x{00a0}\x{3000}]+', ' ', 'g')) AS line FROM benchmark),
-p AS (SELECT item_id, lower(line) AS phrase FROM l WHERE line <> '' UNION SELECT item_id, lower(regexp_extract(line, '[^ ]+ [^ ]+$')) FROM l)
+p AS (SELECT DISTINCT item_id, lower(line) AS phrase FROM l)
 SELECT book, chapter, block, item_id, count(*) AS n FROM blocks JOIN p ON phrase <> '' AND contains(lower(blocks.text), phrase) GROUP BY ALL"""
 )
 def search_multi(spark: SparkSession, d: str) -> DataFrame:
-    """Every line of every benchmark text, and the last two words of each, over all blocks."""
-    lines = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).select("item_id", T.collapse(F.col("line")).alias("phrase"))
-    phrases = lines.unionByName(lines.select("item_id", F.regexp_extract("phrase", "[^ ]+ [^ ]+$", 0).alias("phrase"))).select("item_id", F.lower("phrase").alias("phrase")).distinct()
+    """Every line of every benchmark text over all blocks."""
+    lines = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line"))
+    phrases = lines.select("item_id", F.lower(T.collapse(F.col("line"))).alias("phrase")).distinct()
     return query.search_many(_blocks(spark, d), phrases).groupBy("book", "chapter", "block", "item_id").agg(F.count("*").alias("n"))
 
 
