@@ -63,7 +63,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", keep_one_copy), ("repeats", cut_repeats), ("leaks", drop_leaks), ("packing", pack)]
 
-#: Toxicity models, common subsequences and packing can't be said in SQL; a test compares the stages with plain Python.
+#: Toxicity models, common subsequences and packing can't be said in SQL; the stages' operators are tested one by one.
 ORACLE_SQL = None
 
 
