@@ -137,7 +137,8 @@ def search_many(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
     asked = asked.withColumn("kind", kind).withColumn("key", F.concat("kind", F.when(F.size(inner) > 2, word).when(F.size(inner) == 2, edge).otherwise(F.substring("phrase", 1, 3))))
     # generators keep the folded text and its words from being worked out again wherever they are used
     rows = blocks.select(*at, F.explode(F.array(fold(F.col("text")))).alias("low"))
-    keyed, words, parts = rows.select(*at, "low", F.explode(F.array(F.split("low", " "))).alias("words")), F.col("words"), []
+    keyed = rows.select(*at, "low", F.explode(F.array(F.split("low", " "))).alias("words")).select(*at, "words", F.explode(F.array(F.split("low", ""))).alias("chars"))
+    words, chars, parts = F.col("words"), F.col("chars"), []
     for name in sorted(r["kind"] for r in asked.select("kind").distinct().collect()):  # 13 kinds at most
         tag = F.lit(name)
         if name == "w":
@@ -148,8 +149,8 @@ def search_many(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
             parts.append(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
         else:
             n = int(name[1])
-            places = F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(places, lambda k: F.concat(tag, F.substring(F.col("low"), k, F.lit(n)))))  # noqa: B023
+            places = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(places, lambda k: F.concat(tag, *(F.get(chars, k + i) for i in range(n)))))  # noqa: B023
     if not parts:
         return rows.join(asked, F.lit(False)).select(*at, "item_id")
     found = keyed.select(*at, F.explode(F.array_distinct(F.concat(*parts))).alias("key")).join(asked, "key").select(*at, "item_id", "phrase")
