@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from leafwright.errors import AnchorError, NotABookError, ProtectedError
 from leafwright.functions import text as T
-from leafwright.operators import query
+from leafwright.operators import query, structure
 from leafwright.sources import epub
+from leafwright.sources.shared import Tables
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -51,13 +52,15 @@ def open_book(spark: SparkSession, path: str) -> Book:
 class Book:
     def __init__(self, rows: DataFrame, source: str) -> None:
         self.source = source
-        made = epub.build(rows)
+        tables = Tables(rows.sparkSession)
+        made = epub.build(rows, tables)
         self.meta = epub.metadata(rows).first().asDict()
         self.name = self.meta.get("title") or os.path.basename(source)
         self.blocks = _held(made["blocks"].withColumn("book", F.lit(self.name)))
         self.chapters = [r.asDict() for r in made["chapters"].orderBy("chapter").collect()]
         self.warnings = [r["message"] for r in made["warnings"].orderBy("ord").collect()]
-        self.toc = _held(made["toc"])
+        self.toc = _held(made["toc"].withColumn("book", F.lit(self.name)))
+        tables.discard()
 
     def info(self) -> dict:
         return {**self.stats(), "meta": self.meta, "source": self.source}
@@ -95,8 +98,10 @@ class Book:
         pages = {r["chapter"]: r["page"] for r in self.blocks.groupBy("chapter").agg(F.min_by("page", F.when(F.col("page").isNotNull(), F.col("block"))).alias("page")).collect()}
         inner: dict[int, list] = {}
         if depth > 1:
-            for r in query.sections(self.blocks, depth).orderBy("chapter", "block").collect():
-                inner.setdefault(r["chapter"], []).append({"anchor": r["anchor"], "title": r["title"], "level": r["level"], "tokens": r["tokens"], "source": "heading"})
+            heads = query.sections(self.blocks, depth)
+            every = heads.withColumn("source", F.lit("heading")).unionByName(structure.toc_sections(self.toc, self.blocks, heads).withColumn("source", F.lit("toc")))
+            for r in every.orderBy("chapter", "block", "anchor").collect():
+                inner.setdefault(r["chapter"], []).append({k: r[k] for k in ("anchor", "title", "level", "tokens", "source")})
         return [{"anchor": c["anchor"], "title": c["title"], "tokens": per[c["chapter"]]["tokens"], "blocks": per[c["chapter"]]["n_blocks"], "page": pages.get(c["chapter"]), "depth": c["depth"], "group": c["grp"], **({"sections": inner.get(c["chapter"], [])} if depth > 1 else {})} for c in self.chapters if c["chapter"] in per]
 
     def search(self, text: str, limit: int = 20, all_terms: bool = False, regex: bool = False, max_tokens: int = 400, chapter: str | int | None = None) -> list[dict]:
@@ -130,6 +135,9 @@ class Book:
         rows = query.chunks(self.blocks, max_tokens, overlap).orderBy("chapter", "chunk").offset(offset)
         return [r.asDict() for r in (rows if limit is None else rows.limit(limit)).collect()]
 
+    def chunk_count(self, max_tokens: int = 800, overlap: int = 0) -> int:
+        return query.chunks(self.blocks, max_tokens, overlap).count()
+
     def markdown(self, max_tokens: int | None = None, anchors: bool = False, start: int = 0, end: int | None = None) -> dict:
         rows = self.blocks.where(F.col("chapter") >= start)
         rows = rows if end is None else rows.where(F.col("chapter") <= end)

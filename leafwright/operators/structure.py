@@ -117,11 +117,21 @@ def resolve_cuts(starts: DataFrame, ids: DataFrame, keys: Sequence[str], id_: st
 
 
 def toc_sections(toc: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """Deeper entries with a fragment as sections, at the first block with that path and id, where no heading section is."""
-    place = blocks.groupBy("book", "src_path", "src_id").agg(F.min(F.struct("chapter", "block", "anchor")).alias("at"))
+    """Deeper entries with a fragment as sections, at the first block with that path and id, where no heading section is.
+
+    Columns as of ``query.sections``, with level 0. The tokens are those from the section's own block up to the chapter's next heading
+    with a text that does not repeat the title. Of several entries at one block the first by ``ord`` stays.
+    """
+    chapter = Window.partitionBy("book", "chapter")
+    after = chapter.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    head = (F.col("kind") == "heading") & ~F.col("dedup") & (F.col("text") != "")
+    rows = blocks.withColumns({"_before": F.sum("tokens").over(chapter.orderBy("block")) - F.col("tokens"), "_all": F.sum("tokens").over(chapter)})
+    rows = rows.withColumn("_n", F.coalesce(F.last(F.when(head, F.col("_before")), ignorenulls=True).over(after), F.col("_all")) - F.col("_before"))
+    place = rows.where("src_id <> ''").groupBy("book", "src_path", "src_id").agg(F.min(F.struct("chapter", "block", "anchor", "_n")).alias("at"))
     deep = toc.where("fragment <> '' AND depth > 0").withColumnsRenamed({"path": "src_path", "fragment": "src_id"})
-    found = deep.join(place, ["book", "src_path", "src_id"]).select("book", "at.chapter", "at.block", "at.anchor", "title")
-    return found.join(sections.select("book", "anchor"), ["book", "anchor"], "left_anti")
+    found = deep.join(place, ["book", "src_path", "src_id"]).groupBy("book", "at").agg(F.min_by("title", "ord").alias("title"))
+    found = found.select("book", "at.chapter", "at.block", "at.anchor", "title", F.lit(0).cast("long").alias("level"), F.col("at._n").alias("tokens"))
+    return found.join(sections.select("book", "anchor"), ["book", "anchor"], "left_anti").select("book", "chapter", "block", "anchor", "title", "level", "tokens")
 
 
 def dedupe_warnings(rows: DataFrame, most: int = 40) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from leafwright.functions import text as T
 from leafwright.operators import rescue, structure
 from leafwright.sources import markup as M
+from leafwright.sources.shared import Tables
 
 MAX_MEMBER_BYTES, MAX_RATIO = 64 << 20, 200
 # Namespaces of encryption that only hides fonts, and the types that hold prose.
@@ -248,13 +249,16 @@ def metadata(rows: DataFrame) -> DataFrame:
     return one.join(many, "book")
 
 
-def build(rows: DataFrame) -> dict[str, DataFrame]:
+def build(rows: DataFrame, tables: Tables | None = None) -> dict[str, DataFrame]:
     """The relations of all books in ``rows``: chapters, blocks, toc, notes, warnings.
 
-    Relations that are read more than once are persisted, so that each is made once; ``rows`` should be too.
+    What is read more than once is written as ``tables``, so that it is made once; discard them when the relations have been
+    used. ``rows`` should be persisted.
     """
+    tables = tables or Tables(rows.sparkSession)
     toc_all = of(rows, "toc").select("book", F.col("kind").alias("src"), "ord", "depth", F.col("text").alias("title"), "path", F.col("id").alias("fragment"))
-    toc = structure.toc_ancestors(toc_all.join(structure.choose_toc(toc_all), ["book", "src"])).persist()
+    toc = structure.toc_ancestors(toc_all.join(structure.choose_toc(toc_all), ["book", "src"]))
+    toc = tables.write(toc, "toc")
     spine = of(rows, "spine").select("book", "path", F.col("pos").alias("spine_pos"))
     raw = of(rows, "block").select("book", F.col("ord").alias("spine_pos"), "path", F.col("pos").alias("block_pos"), "kind", "level", "text", "page", F.col("id").alias("src_id"), "inside", "raw")
 
@@ -262,7 +266,7 @@ def build(rows: DataFrame) -> dict[str, DataFrame]:
     notes = of(rows, "note").select("book", "path", "id", "kind", "text", "ord", "pos")
     strong = notes.where("kind = 'strong'").select("book", "path", "id").distinct()
     hidden = raw.select("book", "path", "block_pos", F.explode("inside").alias("id")).join(strong, ["book", "path", "id"]).select("book", "path", "block_pos").distinct()
-    raw = raw.join(hidden, ["book", "path", "block_pos"], "left_anti").persist()
+    raw = tables.write(raw.join(hidden, ["book", "path", "block_pos"], "left_anti"), "raw")
 
     # starts: by the table of contents; by headings if it has none, or one only where headings have more
     ids = of(rows, "id").groupBy("book", "path", "id").agg(F.min("pos").alias("block_pos"))
@@ -274,7 +278,8 @@ def build(rows: DataFrame) -> dict[str, DataFrame]:
     books = of(rows, "status").where("status = 'ok'").select("book")
     choice = books.join(n_toc, "book", "left").join(n_head, "book", "left").select("book", F.coalesce("nt", F.lit(0)).alias("nt"), F.coalesce("nh", F.lit(0)).alias("nh"))
     choice = choice.withColumn("headings", (F.col("nt") == 0) | ((F.col("nt") == 1) & (F.col("nh") > 1)))
-    starts = by_toc.join(choice.where("NOT headings").select("book"), "book").withColumn("from_toc", F.lit(True)).unionByName(by_heading.join(choice.where("headings").select("book"), "book").withColumn("from_toc", F.lit(False))).persist()
+    starts = by_toc.join(choice.where("NOT headings").select("book"), "book").withColumn("from_toc", F.lit(True)).unionByName(by_heading.join(choice.where("headings").select("book"), "book").withColumn("from_toc", F.lit(False)))
+    starts = tables.write(starts, "starts")
 
     # segments: everything up to the next start belongs to the open chapter
     # a start whose block was hidden or empty opens at the next block of its document
@@ -282,7 +287,8 @@ def build(rows: DataFrame) -> dict[str, DataFrame]:
     later = missing.alias("m").join(raw.alias("r"), F.expr("m.book = r.book AND m.path = r.path AND r.block_pos > m.block_pos")).groupBy("m.book", "m.path", F.col("m.block_pos").alias("was"), "m.title", "m.depth", "m.grp", "m.from_toc").agg(F.min("r.block_pos").alias("block_pos"))
     moved = later.join(starts.select("book", "path", "block_pos"), ["book", "path", "block_pos"], "left_anti").select("book", "path", "block_pos", "title", "depth", "grp", "from_toc")
     marked = raw.join(starts.unionByName(moved).withColumn("n", F.row_number().over(Window.partitionBy("book", "path", "block_pos").orderBy("title"))).where("n = 1").drop("n"), ["book", "path", "block_pos"], "left").withColumn("start", F.col("from_toc").isNotNull())
-    segs = structure.islands(marked, ["book"], ["spine_pos", "block_pos"], "start", "seg").where("text <> '' OR kind = 'hr'").persist()
+    segs = structure.islands(marked, ["book"], ["spine_pos", "block_pos"], "start", "seg").where("text <> '' OR kind = 'hr'")
+    segs = tables.write(segs, "segments")
     heads = segs.groupBy("book", "seg").agg(
         F.max("title").alias("toc_title"), F.max("depth").alias("depth"), F.max("grp").alias("grp"), F.coalesce(F.bool_or("from_toc"), F.lit(False)).alias("title_from_toc"),
         F.min_by("text", F.when(F.col("kind") == "heading", F.struct("spine_pos", "block_pos"))).alias("head"), F.bool_and(F.col("kind").isin("image", "figure", "hr")).alias("pictures"),
@@ -291,18 +297,32 @@ def build(rows: DataFrame) -> dict[str, DataFrame]:
     number = F.row_number().over(Window.partitionBy("book").orderBy("seg")) - 1
     heads = heads.withColumn("chapter", number.cast("long"))
     title = F.coalesce(F.nullif(F.col("toc_title"), F.lit("")), F.col("head"), F.when(F.col("pictures"), "Cover"), F.concat(F.lit("Untitled section "), (F.col("chapter") + 1).cast("string")))
-    heads = heads.select("book", "seg", "chapter", title.alias("title"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("grp", F.lit("")).alias("grp"), "title_from_toc", "paths").persist()
+    heads = heads.select("book", "seg", "chapter", title.alias("title"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("grp", F.lit("")).alias("grp"), "title_from_toc", "paths")
     body = segs.drop("title", "depth", "grp", "from_toc", "start").join(heads.select("book", "seg", "chapter", "title", "grp"), ["book", "seg"])
     body, missing_notes = _notes(body, notes)
-    body = rescue.split_blocks(body.withColumn("tokens", T.count_tokens(F.col("text"))).persist())
-    order = Window.partitionBy("book", "chapter").orderBy("spine_pos", "block_pos", "piece")
-    body = body.withColumn("block", (F.row_number().over(order) - 1).cast("long"))
-    dedup = (F.col("block") == 0) & (F.col("kind") == "heading") & (T.same_title(F.col("text")) == T.same_title(F.col("title")))
-    body = body.withColumns({"anchor": T.anchor(F.col("chapter"), F.col("block")), "dedup": dedup, "src_path": F.col("path")})
+    opens = F.row_number().over(Window.partitionBy("book", "chapter").orderBy("spine_pos", "block_pos")) - 1
+    same = (F.col("kind") == "heading") & (T.same_title(F.col("text")) == T.same_title(F.col("title")))
+    body = body.withColumns({"tokens": T.count_tokens(F.col("text")), "block": opens.cast("long")}).withColumn("dedup", (F.col("block") == 0) & same)
+    # chapters that only the prose tells apart; what they are called and numbered follows
+    body = rescue.rebuild(tables.write(body, "body"))
+    body = body.withColumn("number", (F.dense_rank().over(Window.partitionBy("book").orderBy("chapter", "part")) - 1).cast("long"))
+    own = F.col("rescued")
+    body = body.withColumns({"was": F.col("chapter"), "chapter": F.col("number"), "title": F.coalesce("part_title", "title"), "grp": F.when(own, F.lit("")).otherwise(F.col("grp"))})
+    body = tables.write(body, "parts")
+    parts = body.groupBy("book", "was", "number").agg(F.max("rescued").alias("rescued"), F.max("part_title").alias("part_title"))
+    heads = heads.join(parts.withColumnRenamed("was", "chapter"), ["book", "chapter"]).select(
+        "book", F.col("number").alias("chapter"), F.coalesce("part_title", "title").alias("title"), F.when(own, F.lit(0)).otherwise(F.col("depth")).alias("depth"), F.when(own, F.lit("")).otherwise(F.col("grp")).alias("grp"),
+        (F.col("title_from_toc") & ~own).alias("title_from_toc"), F.when(own, F.array().cast("array<string>")).otherwise(F.col("paths")).alias("paths"), own.alias("synthetic"),
+    )
+    rescued = parts.where("rescued").groupBy("book").agg(F.countDistinct("was").alias("n")).select("book", F.concat(F.lit("chapters were found in the prose of "), F.col("n").cast("string"), F.lit(" long chapter(s)")).alias("message"), F.lit(2 * _LATE).alias("ord"))
+    body = rescue.split_blocks(body)
+    order = Window.partitionBy("book", "chapter").orderBy("spine_pos", "block_pos", "sub", "piece")
+    body = body.withColumn("block", (F.row_number().over(order) - 1).cast("long")).withColumn("dedup", (F.col("block") == 0) & same)
+    body = body.withColumns({"anchor": T.anchor(F.col("chapter"), F.col("block")), "src_path": F.col("path")})
     return {
         "blocks": body.select("book", "chapter", "title", "grp", "block", "anchor", "kind", "level", "dedup", "text", "tokens", "page", "footnotes", "src_path", "src_id"),
-        "chapters": heads.drop("seg").withColumn("anchor", T.anchor(F.col("chapter"))), "toc": toc, "notes": notes,
-        "warnings": structure.dedupe_warnings(of(rows, "warning").select("book", F.col("text").alias("message"), "ord").unionByName(_structure_warnings(choice)).unionByName(missing_notes)),
+        "chapters": heads.withColumn("anchor", T.anchor(F.col("chapter"))), "toc": toc, "notes": notes,
+        "warnings": structure.dedupe_warnings(of(rows, "warning").select("book", F.col("text").alias("message"), "ord").unionByName(_structure_warnings(choice)).unionByName(missing_notes).unionByName(rescued)),
     }
 
 
@@ -336,4 +356,4 @@ def _notes(body: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.when(F.col("u").isNotNull(), numbered).otherwise(F.col("text"))
     listed = F.array_distinct(F.transform("u", lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text"))))
     lost = used.where("said IS NULL").groupBy("book", "to_path", "id").agg(F.min("number").alias("n")).select("book", F.concat(F.lit("note without a body: "), "to_path", F.lit("#"), "id").alias("message"), (F.col("n") + _LATE).cast("long").alias("ord"))
-    return out.withColumns({"text": F.regexp_replace(text, shape, "$3"), "footnotes": F.coalesce(listed, F.array().cast("array<struct<number:int,text:string>>"))}).drop("u"), lost
+    return out.withColumns({"text": F.regexp_replace(text, shape, "$3"), "raw": F.regexp_replace(F.coalesce("raw", F.lit("")), shape, "$3"), "footnotes": F.coalesce(listed, F.array().cast("array<struct<number:int,text:string>>"))}).drop("u"), lost

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from leafwright.sources import epub
+from leafwright.sources.shared import Tables
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -18,10 +19,12 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
 
     def one(batch: DataFrame, number: int) -> None:
         rows = epub.unpack(batch).persist()
-        made = epub.build(rows)
+        tables = Tables(rows.sparkSession)
+        made = epub.build(rows, tables)
         for name in ("blocks", "chapters", "toc", "warnings"):
             made[name].write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
         epub.of(rows, "status").select("book", "status").write.mode("overwrite").parquet(f"{target}/books/batch={number}")
+        tables.discard()
         rows.unpersist()
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -61,3 +61,29 @@ def split_chapter() -> bytes:
 
 def encrypted(algorithm: str = "http://www.w3.org/2001/04/xmlenc#aes128-cbc") -> bytes:
     return book(CLEAN, nav=NAV, extra={"META-INF/encryption.xml": f'<encryption><EncryptedData><EncryptionMethod Algorithm="{algorithm}"/><CipherData><CipherReference URI="OPS/a.bin"/></CipherData></EncryptedData></encryption>'})
+
+
+def _prose(n: int) -> str:
+    return "山高月小水落石出。" * (n // 9)
+
+
+def blob() -> bytes:
+    """Three chapters in one paragraph, by lines; the first title goes on after a rule, and one line only begins like a title."""
+    lines = ["第一回", "———————", "松下問童子 言師採藥去", _prose(8000), "第二回 只在此山中 雲深不知處", _prose(8000), "———————", "第三回 空山不見人 但聞人語響", "第四回中又說起那童子來。" + _prose(8000)]
+    return book({"a.xhtml": page("<p>" + "\n".join(lines) + "</p>")})
+
+
+def paragraphs() -> bytes:
+    """Three chapters in paragraphs, a title and its rest apart by a rule."""
+    parts = "".join(f"<p>CHAPTER {k}</p><p>-----</p><p>The {w} part</p>" + f"<p>{'Words go on and on here. ' * 400}</p>" * 4 for k, w in ((1, "first"), (2, "second"), (3, "third")))
+    return book({"a.xhtml": page(parts)})
+
+
+def long_but_whole() -> bytes:
+    """Long, with two titles only."""
+    return book({"a.xhtml": page("<h1>Whole</h1>" + f"<p>CHAPTER 1</p><p>{'Words go on and on here. ' * 2000}</p><p>CHAPTER 2</p><p>{'Words go on and on here. ' * 2000}</p>")})
+
+
+def toc_only_sections() -> bytes:
+    nav = page('<nav epub:type="toc"><ol><li><a href="a.xhtml">One</a><ol><li><a href="a.xhtml#x">By the table</a></li><li><a href="a.xhtml#h">A heading too</a></li><li><a href="a.xhtml#gone">Nowhere</a></li></ol></li></ol></nav>')
+    return book({"a.xhtml": page('<h1>One</h1><p>a a a a</p><p id="x">b b b b</p><p>c c c c</p><h2 id="h">Heading</h2><p>d d d d</p>')}, nav=nav)

@@ -12,7 +12,7 @@ from leafwright.sources import epub
 @pytest.fixture(scope="module")
 def library(tmp_path_factory):
     path = tmp_path_factory.mktemp("books")
-    made = {"clean": books.clean(), "ncx": books.ncx_only(), "stub": books.stub_toc(), "split": books.split_chapter(), "drm": books.encrypted(), "font": books.encrypted("http://www.idpf.org/2008/embedding"), "bad": b"no zip"}
+    made = {"clean": books.clean(), "ncx": books.ncx_only(), "stub": books.stub_toc(), "split": books.split_chapter(), "drm": books.encrypted(), "font": books.encrypted("http://www.idpf.org/2008/embedding"), "bad": b"no zip", "blob": books.blob(), "paragraphs": books.paragraphs(), "whole": books.long_but_whole(), "sections": books.toc_only_sections()}
     for name, raw in made.items():
         (path / f"{name}.epub").write_bytes(raw)
     return path
@@ -27,7 +27,7 @@ def built(spark, library):
 
 def test_status_of_each_file(built):
     got = {r["book"]: r["status"] for r in epub.of(built["rows"], "status").collect()}
-    assert got == {"clean": "ok", "ncx": "ok", "stub": "ok", "split": "ok", "drm": "protected", "font": "ok", "bad": "not_a_book"}
+    assert got == {"clean": "ok", "ncx": "ok", "stub": "ok", "split": "ok", "drm": "protected", "font": "ok", "bad": "not_a_book", **dict.fromkeys(("blob", "paragraphs", "whole", "sections"), "ok")}
 
 
 def test_titles(built):
@@ -102,12 +102,37 @@ def test_metadata(built):
 
 def test_listing_reads_no_contents(spark, library):
     rows = epub.listing(spark, str(library)).collect()
-    assert len(rows) == 7 and all(r["bytes"] > 0 for r in rows)
+    assert len(rows) == 11 and all(r["bytes"] > 0 for r in rows)
 
 
 def test_container_only(spark, library):
     rows = epub.unpack(epub.scan(spark, str(library)), container_only=True)
-    assert epub.of(rows, "block").count() == 0 and epub.of(rows, "spine").count() == 13
+    assert epub.of(rows, "block").count() == 0 and epub.of(rows, "spine").count() == 17
+
+
+def test_chapters_from_prose(built):
+    rows = built["chapters"].where("book IN ('blob', 'paragraphs', 'whole')").orderBy("book", "chapter").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["book"], []).append(r["title"])
+        assert r["book"] == "whole" or (r["synthetic"] and r["paths"] == [] and r["depth"] == 0 and r["grp"] == "" and not r["title_from_toc"])
+    assert got["blob"] == ["第一回 松下問童子 言師採藥去", "第二回 只在此山中 雲深不知處", "第三回 空山不見人 但聞人語響"]
+    assert got["paragraphs"] == ["CHAPTER 1 The first part", "CHAPTER 2 The second part", "CHAPTER 3 The third part"]
+    assert got["whole"] == ["Whole"]
+    blocks = built["blocks"].where("book IN ('blob', 'paragraphs')").orderBy("book", "chapter", "block").collect()
+    assert not any("———" in b["text"] or "-----" in b["text"] for b in blocks)
+    heads = [b for b in blocks if b["block"] == 0]
+    assert len(heads) == 6 and all(b["dedup"] and b["kind"] == "heading" and b["text"] == b["title"] for b in heads)
+    said = "".join(b["text"] for b in blocks if b["book"] == "blob" and b["block"] > 0)
+    assert said == books._prose(8000) * 2 + "第四回中又說起那童子來。" + books._prose(8000)
+    assert max(b["tokens"] for b in blocks) <= 800
+    warned = {r["book"] for r in built["warnings"].where("message LIKE '%prose%'").collect()}
+    assert warned == {"blob", "paragraphs"}
+
+
+def test_sections_of_the_table_of_contents(spark, library):
+    found = api.open_book(spark, str(library / "sections.epub")).outline(2)[0]["sections"]
+    assert [(s["title"], s["level"], s["source"], s["tokens"]) for s in found] == [("One", 1, "heading", 0), ("By the table", 0, "toc", 4), ("Heading", 2, "heading", 2)][1:]
 
 
 def test_single_book_calls(spark, library):
