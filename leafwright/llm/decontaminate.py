@@ -3,7 +3,7 @@
 Passages are runs of ``PARTS * BLOCK`` words. Their TF-IDF vectors (words hashed to ``FEATURES`` columns, document counts
 over the whole corpus) are reduced by a randomised SVD: a random range finder with power iterations, each
 one a pass of partial products over partitions, added up per slice of columns. It is fitted on all benchmark
-passages and those of ``FIT_DOCS`` documents at most, with equal weight, and its strong directions are damped.
+passages and those of all documents, with equal weight, and its strong directions are damped.
 
 Every passage of every document is compared with all benchmark passages by cosine in that space. Candidates are then
 compared word by word: the longest common subsequence of the item and the text around the passage, and the share of the
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textcode as T
 
-BLOCK, PARTS, FEATURES, RANK, OVERSAMPLE, FIT_DOCS = 15, 2, 1 << 14, 128, 8, 2000
+BLOCK, PARTS, FEATURES, RANK, OVERSAMPLE = 15, 2, 1 << 14, 128, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.33, 0.8, 0.45, 0.4
-SLICE, FIT_PARTS, ITEM_CHUNK = 1 << 11, 2, 4000
+SLICE, FIT_BYTES, FIT_PASSAGES, PIECE, ITEM_CHUNK = 1 << 9, 64 << 20, 1 << 15, 64, 4000
 SLOTS, RUNS, PAIRS = 1 << 12, 1024, 4096
+_PACKED, _PACKED_NAMES = "slice int, values binary, n long, feature binary, per binary", ["slice", "values", "n", "feature", "per"]
 _LEAKS = "doc_id long, text_key long, item_id long, cosine double, lcs double, answer double"
 
 
@@ -57,7 +58,8 @@ def _added(df: DataFrame, kind: type = np.float64) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for _, x in rows]) if rows else np.zeros(0, kind)
 
 
-def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some texts to a row: the features of all their words and each one's count of words; behind them how many texts hold each feature, by slices."""
     total = np.zeros((FEATURES, 2))
     for column in (b["text"].slice(k, min(j, k + 512) - k) for b in batches for i, j in T.runs(b["text"]) for k in range(i, j, 512)):
         _, feature, per = _tokens(column)
@@ -66,68 +68,130 @@ def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         held[doc, feature] = True
         total[:, 0] += np.count_nonzero(held, axis=0)
         total[0, 1] += len(per)
-    yield _slices(total)
+        none = pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())
+        own = pa.array([len(feature)], pa.int64()), X.binary([feature.astype("<u2").tobytes()]), X.binary([per.astype("<u4").tobytes()])
+        yield pa.RecordBatch.from_arrays([*none, *own], _PACKED_NAMES)
+    slices = _slices(total)
+    none = [pa.nulls(len(slices), kind) for kind in (pa.int64(), pa.binary(), pa.binary())]
+    yield pa.RecordBatch.from_arrays([*slices.columns, *none], _PACKED_NAMES)
 
 
-def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold each feature, and all documents."""
-    got = _added(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count_documents, "slice int, values binary"))
+def document_counts(packed: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that hold each feature, and all documents, from rows of ``_pack``."""
+    got = _added(packed.where("slice IS NOT NULL").select("slice", "values"))
     got = got.reshape(FEATURES, 2) if len(got) else np.zeros((FEATURES, 2))
     return got[:, 0], int(got[:, 1].sum())
 
 
-def _fit_passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and passage of each token, without overlap, and the passages' weights."""
-    _, feature, per = _tokens(batch["text"])
-    inside = np.arange(len(feature)) - np.repeat(np.cumsum(per) - per, per)
+def _places(feature: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Features of each passage, without overlap, one passage to a row; places that a text's end leaves open hold ``FEATURES``."""
     step = PARTS * BLOCK
-    parts = np.maximum(-(-per // step), 0)
-    passage = np.repeat(np.cumsum(parts) - parts, per) + inside // step
-    return feature, passage, np.repeat(batch["weight"].to_numpy(), parts)
+    inside = np.arange(len(feature)) - np.repeat(np.cumsum(per) - per, per)
+    parts = -(-per // step)
+    places = np.full(int(parts.sum()) * step, FEATURES, np.uint16)
+    places[np.repeat((np.cumsum(parts) - parts) * step, per) + inside] = feature
+    return places.reshape(-1, step)
+
+
+def _fit_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_places`` of rows ``feature, per, weight`` and the passages' weights, up to ``FIT_PASSAGES`` at a time."""
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([p for p, _ in some]), np.concatenate([w for _, w in some])
+
+    some, n = [], 0
+    for batch in batches:
+        for feature, per, weight in zip(batch["feature"], batch["per"], batch["weight"].to_pylist(), strict=True):
+            places = _places(np.frombuffer(feature.as_buffer(), "<u2"), np.frombuffer(per.as_buffer(), "<u4").astype(np.int64))
+            for a in range(0, len(places), FIT_PASSAGES):
+                part = places[a : a + FIT_PASSAGES]
+                if n + len(part) > FIT_PASSAGES:
+                    yield merged()
+                    some, n = [], 0
+                some.append((part, np.full(len(part), weight)))
+                n += len(part)
+    if some:
+        yield merged()
+
+
+def _sums(values: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``values[at]``, ``count`` of them after each other at a time, in pieces of ``PIECE`` rows."""
+    pieces = -(-count // PIECE)
+    owner = np.repeat(np.arange(len(count)), pieces)
+    first = np.repeat(np.cumsum(count) - count, pieces)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, size = first + number * PIECE, np.minimum(count[owner] - number * PIECE, PIECE)
+    by = np.argsort(-size, kind="stable")
+    out = np.empty((len(owner), values.shape[1]), np.float32)
+    own, room = np.empty((2, 1024, values.shape[1]), np.float32)
+    for a in range(0, len(by), 1024):
+        some = by[a : a + 1024]
+        begin, long = first[some], size[some]
+        np.take(values, at[begin], axis=0, out=own[: len(some)], mode="clip")
+        # those of more than k rows come first
+        for k, n in enumerate(np.searchsorted(-long, -np.arange(1, int(long[0]))).tolist(), 1):
+            np.take(values, at[begin[:n] + k], axis=0, out=room[:n], mode="clip")
+            own[:n] += room[:n]
+        out[some] = own[: len(some)]
+    return out if len(out) == len(count) else _sums(out, np.arange(len(out)), pieces)
 
 
 def fit(texts: DataFrame, idf: np.ndarray, seed: int = 11, power: int = 2) -> np.ndarray:
-    """Projection (FEATURES, RANK) of TF-IDF vectors, from rows ``text`` and ``weight``, with its strong directions damped."""
+    """Projection (FEATURES, RANK) of TF-IDF vectors, from rows ``feature, per, weight`` of all texts, with its strong directions damped."""
     basis = np.random.default_rng(seed).normal(size=(FEATURES, RANK + OVERSAMPLE))
     sc = texts.sparkSession.sparkContext
 
-    def multiply(with_: np.ndarray, gram: bool) -> np.ndarray:
-        cast = sc.broadcast((idf * 1.0, with_.astype(np.float32)))  # FEATURES by RANK numbers
+    def multiply(with_: np.ndarray) -> np.ndarray:
+        """The passages' Gram matrix of features times ``with_``: one pass over all passages."""
+        cast = sc.broadcast((idf * 1.0, (idf[:, None] * with_).astype(np.float32)))  # FEATURES by RANK numbers
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scale, m = cast.value
+            m = np.vstack([m, np.zeros((1, m.shape[1]), np.float32)])
+            square = np.append(scale**2, 0)
             total = np.zeros((FEATURES, m.shape[1]))
-            for whole in batches:
-                for at in range(0, len(whole), 64):
-                    feature, passage, weight = _fit_passages(whole.slice(at, 64))
-                    if not len(feature):
-                        continue
-                    first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                    w = scale[feature].astype(np.float32)[:, None]
-                    z = np.add.reduceat(m[feature] * w, first, axis=0)
-                    norm = np.sqrt(np.add.reduceat(scale[feature] ** 2, first))
-                    z *= (weight[passage[first]] / np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
-                    if gram:
-                        total[: z.shape[1]] += z.T @ z
-                        continue
-                    z *= (weight[passage[first]] / np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
-                    order = np.argsort(feature, kind="stable")
-                    heads = np.flatnonzero(np.append(True, feature[order][1:] != feature[order][:-1]))
-                    ordinal = np.cumsum(np.append(True, passage[1:] != passage[:-1])) - 1
-                    total[feature[order][heads]] += np.add.reduceat(z[ordinal[order]] * w[order], heads, axis=0)
-            yield _slices(total)
+            for places, weight in _fit_passages(batches):
+                z = _sums(m, places.ravel().astype(np.int64), np.full(len(places), places.shape[1]))
+                z *= (weight**2 / np.maximum(square[places].sum(1), 1e-18)).astype(np.float32)[:, None]
+                order = np.argsort(places.ravel(), kind="stable")
+                kind = places.ravel()[order]
+                heads = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+                kind, count = kind[heads], np.diff(np.append(heads, len(kind)))
+                if kind[-1] == FEATURES:
+                    kind, count = kind[:-1], count[:-1]
+                total[kind] += _sums(z, order // places.shape[1], count)
+            yield _slices(total * scale[:, None])
 
         out = _added(texts.mapInArrow(run, "slice int, values binary"), np.float32).reshape(FEATURES, -1)
         cast.destroy()
-        return out
-
-    for _ in range(power + 1):
-        basis = np.linalg.qr(multiply(basis, gram=False))[0]
-    values, turn = np.linalg.eigh(multiply(basis, gram=True)[: basis.shape[1]])
-    keep = np.argsort(-values)[:RANK]
+        X.release(texts.sparkSession)
+        return out.astype(np.float64)
+
+    for _ in range(power):
+        basis = np.linalg.qr(multiply(basis))[0]
+    basis = np.linalg.qr(basis)[0]
+    product = multiply(basis)
+    # the last product also gives the matrix inside the basis, so directions and strengths need no further pass (Nystrom's approximation)
+    values, turn = np.linalg.eigh((basis.T @ product + product.T @ basis) / 2)
+    sound = values > 1e-6 * max(values[-1], 1e-12)
+    basis, values, _ = np.linalg.svd(product @ (turn[:, sound] / np.sqrt(values[sound])), full_matrices=False)
+    values = np.append(values**2, np.zeros(RANK))[:RANK]
+    basis = np.column_stack([basis, np.zeros((FEATURES, RANK))])[:, :RANK]
     # strong directions are damped to the median one; weak ones are not blown up
-    scale = 1 / np.sqrt(np.maximum(values[keep], max(float(np.median(values[keep])), 1e-12)))
-    return (idf[:, None] * (basis @ turn[:, keep] * scale)).astype(np.float32)
+    scale = 1 / np.sqrt(np.maximum(values, max(float(np.median(values)), 1e-12)))
+    return (idf[:, None] * (basis * scale)).astype(np.float32)
+
+
+def projection(packed: DataFrame, items: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """``fit`` on the passages of all documents (rows of ``_pack``) and of all items, with equal weight by words."""
+    own = items.select("text").mapInArrow(_pack, _PACKED).where("feature IS NOT NULL")
+    docs = packed.where("feature IS NOT NULL")
+    mass, mine = (d.agg(F.sum("n")).first()[0] or 0 for d in (docs, own))
+    # a pass sends one matrix a partition, so a partition is of some size
+    parts = max(packed.sparkSession.sparkContext.defaultParallelism, -(-2 * mass // FIT_BYTES))
+    weight = float(np.sqrt(max(mass, 1) / max(mine, 1)))
+    columns = ["feature", "per", "weight"]
+    return fit(docs.withColumn("weight", F.lit(1.0)).select(columns).coalesce(parts).unionByName(own.withColumn("weight", F.lit(weight)).select(columns)), idf)
 
 
 def passages(feature: np.ndarray, per: np.ndarray, project: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,19 +287,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer")).where("text IS NOT NULL AND trim(text) <> ''")
-    held, n = document_counts(rows)
+    # words are hashed once for the counts and all passes of the fit
+    packed = X.settle(rows.select("text").mapInArrow(_pack, _PACKED))
+    held, n = document_counts(packed)
     idf = np.log((n + 1) / (held + 1)) + 0.05
     n_items = items.count()
     if not n_items or not n:
+        X.discard(packed)
         return spark.createDataFrame([], _LEAKS)
-    # the sample is written once; only its smallest hashes are read for it, and no pass over it reads the corpus again
-    sample = X.settle(rows.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(FIT_DOCS).select("text"))
-    mass, own = (d.agg(F.sum(F.length("text"))).first()[0] for d in (sample, items))
-    weight = float(np.sqrt(max(mass or 0, 1) / own))
-    texts = sample.select("text", F.lit(1.0).alias("weight")).unionByName(items.select("text", F.lit(weight).alias("weight"))).repartition(FIT_PARTS)
-    project = fit(texts, idf)
-    X.discard(sample)
-    del texts, sample
+    project = projection(packed, items, idf)
+    X.discard(packed)
+    del packed
     X.release(spark)
     chunks = -(-n_items // ITEM_CHUNK)
     found = None

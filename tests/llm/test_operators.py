@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafwright.llm import chat_format, decontaminate, hamming_index, html_extract, ngram_jaccard, packing, registry, suffix_dedup, suffix_tree_lm, toxicity, url_filter
@@ -241,6 +242,38 @@ def test_leaks(spark):
     assert none.count() == 0
 
 
+def test_projection_of_all_documents(spark):
+    # the directions are those of the passages of every document, not of some
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(110)]
+    docs = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 70))) for _ in range(2300)] + ["", None, "only here twice only here twice"]
+    items = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(5)]
+    packed = spark.createDataFrame([(d,) for d in docs], "text string").selectExpr("coalesce(text, '') AS text").mapInArrow(decontaminate._pack, decontaminate._PACKED).cache()
+    held, n = decontaminate.document_counts(packed)
+    feature = lambda t: [int(f) for f in decontaminate._tokens(pa.array([t]))[1]]
+    in_docs = Counter(f for d in docs if d for f in set(feature(d)))
+    assert n == len(docs) and in_docs == {f: held[f] for f in np.flatnonzero(held)}
+    idf = np.log((n + 1) / (held + 1)) + 0.05
+    total = [sum(len((d or "").split()) for d in texts) for texts in (docs, items)]
+    column = {f: k for k, f in enumerate(in_docs)}
+    gram = np.zeros((len(column), len(column)))
+    for t, w in [*((d, 1.0) for d in docs if d), *((i, total[0] / total[1]) for i in items)]:
+        own = feature(t)
+        for a in range(0, len(own), 30):
+            row = np.zeros(len(column))
+            for f in own[a : a + 30]:
+                row[column[f]] += idf[f]
+            gram += np.outer(row, row) * w / sum(idf[f] ** 2 for f in own[a : a + 30])
+    values, turn = np.linalg.eigh(gram)
+    at, some = list(column), values > 1e-6 * values[-1]
+    values, turn = values[some], turn[:, some]
+    median = np.median([*values, *[0.0] * (decontaminate.RANK - len(values))])
+    want = idf[at][:, None] * (turn / np.maximum(values, median)) @ turn.T * idf[at]
+    project = decontaminate.projection(packed, spark.createDataFrame([(i,) for i in items], "text string"), idf)
+    assert np.abs(project[at] @ project[at].T - want).max() < 1e-3 * np.abs(want).max()
+    assert np.abs(np.delete(project, at, axis=0)).max() < 1e-12
+
+
 def test_neighbours(spark):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) * (1 + i % 3) for _ in range(8)]) for i in range(120)]
