@@ -9,12 +9,14 @@ documents hold reaches its bucket once per blob, so it does not make the bucket
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +76,23 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffles and broadcasts that nothing refers to any more, on all machines.
 
-    Its cleaner acts when the driver's JVM collects, which a driver of many small jobs seldom does by itself.
+    Its cleaner acts when the driver's JVM collects, which a driver of many small jobs seldom does by itself. What the C
+    library holds for the JVM's threads beyond their use goes back to the system too, where the JVM has a command for that.
     """
     gc.collect()
     spark._jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> str:
+    """Runs the JVM's command ``System.trim_native_heap`` in the driver, by reflection, as the server's own class is not open."""
+    lang, array = spark._jvm.java.lang, spark.sparkContext._gateway.new_array
+    invoke = next(m for m in lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = array(lang.Object, 4)
+    given[0], given[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = array(lang.Object, 0), array(lang.String, 0)
+    return invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
@@ -132,10 +147,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         after = settle(small)
         discard(now)
         now, is_ = after, sign(after)
+        release(edges.sparkSession)
         if is_ == was:
             break
         was = is_
     else:
         raise RuntimeError("components did not settle")
-    release(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from leafwright.llm import chat_format, decontaminate, hamming_index, html_extract, ngram_jaccard, packing, registry, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from leafwright.llm import chat_format, decontaminate, exchange, hamming_index, html_extract, ngram_jaccard, packing, registry, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, n_bytes string, blob int, score string"
@@ -383,3 +384,16 @@ def test_html_blocks_on_a_passing_path_all_count():
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<article><p>a, b.</p></article>", "x"), (2, None, "x"), (2, None, "x")], "page_id long, html string, text string")
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.main_text(df).collect()) == Counter([(1, "a, b.", 5), (2, "", 0), (2, "", 0)])
+
+
+def test_components_release_every_round(spark, monkeypatch):
+    # the driver gives back what the rounds leave behind, native memory included, while they run
+    rounds, settled = [], []
+    own, settle = exchange.release, exchange.settle
+    monkeypatch.setattr(exchange, "release", lambda s: (rounds.append(len(settled)), own(s)))
+    monkeypatch.setattr(exchange, "settle", lambda d: (settled.append(1), settle(d))[1])
+    links = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(30, 31)], "u long, v long")
+    got = {r["node"]: r["root"] for r in exchange.components(links).collect()}
+    assert got == {**dict.fromkeys(range(1, 13), 0), 31: 30}
+    assert len(settled) > 3 and rounds == list(range(2, len(settled) + 1))
+    assert "Trim native heap" in exchange._trim(spark) or os.uname().sysname != "Linux"
