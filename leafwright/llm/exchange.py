@@ -12,7 +12,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,20 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def settle_dealt(df: DataFrame, column: str) -> DataFrame:
+    """``settle``, dealt by the hash of a column: what groups the table by that column shuffles nothing of it."""
+    spark = df.sparkSession
+    name = f"leafwright_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leafwright/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are outside of the warehouse, and ``out`` knows them
+    out._leafwright_path = path
+    _written.append(path)
+    return out
+
+
 _written: list[str] = []
 
 
@@ -95,6 +109,18 @@ def _trim(spark: SparkSession) -> str:
     return invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffles go from all disks when the query ends, not when the driver's JVM happens to collect."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """``settle(make())``; the tables that were settled on the way are deleted."""
     begun = len(_written)

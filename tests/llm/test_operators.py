@@ -143,6 +143,21 @@ def test_suffix_tree_against_brute_force(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_suffix_tree_keeps_one_level_of_messages(spark, docs):
+    """Shuffles of a level are gone when the next has begun: only those of the last query may be left."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return set(re.findall(r"shuffle_(\d+)_", files))
+
+    exchange.release(spark)
+    before = shuffles()
+    out = suffix_tree_lm.score(docs)
+    assert shuffles() <= before
+    assert out.count() == len(corpus()) and len(shuffles() - before) <= 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_rare_pairs_and_deep_contexts_become_states(spark):
     """A pair of 8 among 400,000 tokens is learnt, and a word that only the third word before it tells."""
     rng = random.Random(3)
