@@ -13,7 +13,10 @@ a good part is and the answer is there too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from . import textcode as T
 BLOCK, PARTS, FEATURES, RANK, OVERSAMPLE = 15, 2, 1 << 14, 128, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.33, 0.8, 0.45, 0.4
 SLICE, FIT_BYTES, FIT_PASSAGES, PIECE, ITEM_CHUNK = 1 << 9, 64 << 20, 1 << 15, 64, 4000
-SLOTS, RUNS, PAIRS = 1 << 12, 1024, 4096
+SLOTS, RUNS, PAIRS, ROOM = 1 << 12, 1024, 4096, 1024
 _PACKED, _PACKED_NAMES = "slice int, values binary, n long, feature binary, per binary", ["slice", "values", "n", "feature", "per"]
 _LEAKS = "doc_id long, text_key long, item_id long, cosine double, lcs double, answer double"
 
@@ -66,7 +69,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.repeat(np.arange(len(per)), per)
         held = np.zeros((len(per), FEATURES), bool)
         held[doc, feature] = True
-        total[:, 0] += np.count_nonzero(held, axis=0)
+        for k in range(0, len(held), 255):  # so many fit in a byte
+            total[:, 0] += np.add.reduce(held[k : k + 255].view(np.uint8), axis=0, dtype=np.uint8)
         total[0, 1] += len(per)
         none = pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())
         own = pa.array([len(feature)], pa.int64()), X.binary([feature.astype("<u2").tobytes()]), X.binary([per.astype("<u4").tobytes()])
@@ -123,9 +127,9 @@ def _sums(values: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
     first, size = first + number * PIECE, np.minimum(count[owner] - number * PIECE, PIECE)
     by = np.argsort(-size, kind="stable")
     out = np.empty((len(owner), values.shape[1]), np.float32)
-    own, room = np.empty((2, 1024, values.shape[1]), np.float32)
-    for a in range(0, len(by), 1024):
-        some = by[a : a + 1024]
+    own, room = np.empty((2, ROOM, values.shape[1]), np.float32)
+    for a in range(0, len(by), ROOM):
+        some = by[a : a + ROOM]
         begin, long = first[some], size[some]
         np.take(values, at[begin], axis=0, out=own[: len(some)], mode="clip")
         # those of more than k rows come first
@@ -226,18 +230,33 @@ def passages(feature: np.ndarray, per: np.ndarray, project: np.ndarray) -> tuple
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), text, number
 
 
-def lcs(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, with the bits of one integer for the row of the table."""
+def masks(a: list[int]) -> dict[int, int]:
+    """The places of each word, as the bits of one integer."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
+    return where
+
+
+def lcs(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    return common(masks(a), b, 0)
+
+
+def common(where: dict[int, int], b: list[int], least: int) -> int:
+    """``lcs`` of the words of ``masks`` and ``b``, or 0 if it is under ``least``.
+
+    One integer's bits are the row of the table. Words that are not there change nothing, and what lacks too many is not looked at.
+    """
+    hits = list(filter(None, map(where.get, b)))
+    if len(hits) < least or reduce(or_, hits, 0).bit_count() < least:
+        return 0
     row = 0
-    for y in b:
-        m = where.get(y)
-        if m is not None:
-            u = row | m
-            row = u & ~(u - (row << 1 | 1))
-    return row.bit_count()
+    for m in hits:
+        u = row | m
+        row = u & ~(u - (row << 1 | 1))
+    found = row.bit_count()
+    return found if found >= least else 0
 
 
 def _flat(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +281,8 @@ def shared(at: np.ndarray, lens: np.ndarray, slots: np.ndarray, run: np.ndarray,
         for i in range(i, j, PAIRS):
             k = min(i + PAIRS, j)
             where, row = _flat(item_at[i:k], item_lens[i:k])
-            out[i:k] = np.bincount(row, table[(run[i:k] - a)[row], item_slots[where]], k - i)
+            held = table.ravel().take(((run[i:k] - a) * SLOTS)[row] + item_slots[where])
+            out[i:k] = np.add.reduceat(held, np.cumsum(item_lens[i:k]) - item_lens[i:k], dtype=np.int64)  # no item is empty
     return out
 
 
@@ -320,6 +340,7 @@ def _search(rows: DataFrame, part: pa.Table, project: np.ndarray, idf: np.ndarra
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         project, unit, owner, seqs, keys, item_at, item_lens, item_slots, item_ids = cast.value
+        where = [masks(x) for x in seqs]
         for whole in batches:
             out: list[list] = [[], [], [], [], [], []]
             for batch in (whole.slice(k, min(j, k + 500) - k) for i, j in T.runs(whole["text"]) for k in range(i, j, 500)):
@@ -352,8 +373,9 @@ def _search(rows: DataFrame, part: pa.Table, project: np.ndarray, idf: np.ndarra
                         if best.get(key, (0.0, 0.0))[0] == 1:
                             continue
                         run_ = words[begin[t[u]] + lo[u] : begin[t[u]] + hi[u]].tolist()
-                        found = lcs(seq, run_) / len(seq), len(keys[key[1]].intersection(run_)) / len(keys[key[1]])
-                        best[key] = max(best.get(key, found), found)
+                        if share := common(where[key[1]], run_, math.ceil(PARAPHRASE * len(seq) - 1e-9)) / len(seq):
+                            found = share, len(keys[key[1]].intersection(run_)) / len(keys[key[1]])
+                            best[key] = max(best.get(key, found), found)
                     code = t * len(seqs) + i
                     order = np.argsort(code, kind="stable")
                     heads = np.flatnonzero(np.diff(code[order], prepend=-1))

@@ -143,6 +143,14 @@ def test_lcs_against_a_table():
         assert decontaminate.lcs(a, b) == row[-1]
 
 
+def test_common_words_in_order_stop_below_the_least():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        whole, least = decontaminate.lcs(a, b), rng.randrange(60)
+        assert decontaminate.common(decontaminate.masks(a), b, least) == (whole if whole >= least else 0)
+
+
 def _step(row, x, b):
     out = [0]
     for j, y in enumerate(b):
