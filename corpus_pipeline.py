@@ -2,11 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read as
 the next one's ``docs``. All but the last return the columns of ``documents``; extra columns are not passed on.
+Before each stage the executors give back the memory that the stages before left in use.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
+from functools import partial, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,16 @@ from leafwright.llm import decontaminate, exchange, ngram_jaccard, packing, regi
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _rested(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        exchange.rest(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_rested
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go; null and empty texts stay unless the labels call empty texts toxic."""
     return toxicity.score(docs, registry.table(spark, sf_dir, "labels")).where("predicted = 0").select(*COLUMNS)
@@ -29,6 +41,7 @@ def _keyed(docs: DataFrame, text_key: Column) -> DataFrame:
 _KEYS = ["_id", "_nul", "_key"]
 
 
+@_rested
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (ties: by a hash of the text; a null id is last).
 
@@ -43,12 +56,14 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.withColumn("_n", nth).where("_n = 1 OR empty").select(*COLUMNS)
 
 
+@_rested
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of strings of 50 bytes are cut out of the texts; ``n_chars`` is counted again. Every row stays, a null text as an empty one."""
     cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
     return cut.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*COLUMNS)
 
 
+@_rested
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null and empty texts hold none."""
     found = decontaminate.leaks(docs, registry.table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
@@ -56,6 +71,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(_keyed(found, F.col("text_key")).select(*_KEYS), _KEYS, "left_anti").select(*COLUMNS)
 
 
+@_rested
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 2048 tokens."""
     return packing.pack(docs, registry.tokenizer_path())

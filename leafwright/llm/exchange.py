@@ -10,6 +10,7 @@ documents hold reaches its bucket once per blob, so it does not make the bucket
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,6 +110,25 @@ def _trim(spark: SparkSession) -> str:
     return invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as they are; the Python worker gives back what its allocators hold beyond its use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    yield from batches
+
+
+def rest(spark: SparkSession) -> None:
+    """Lets the executors give back what earlier jobs left there: garbage on their JVMs' heaps, and what Python workers hold beyond their use.
+
+    A heap that has grown hardly shrinks without a full collection, so a job's Python workers would find an executor as
+    full as the largest job before made it. One small task a core, so that each executor gets some if all are free.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").mapInArrow(_trimmed, "done string").collect()
+
+
 @contextlib.contextmanager
 def brief_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, a query's shuffles go from all disks when the query ends, not when the driver's JVM happens to collect."""

@@ -1,5 +1,6 @@
 """Whole operators on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
+import gc
 import hashlib
 import math
 import os
@@ -412,3 +413,29 @@ def test_components_release_every_round(spark, monkeypatch):
     assert got == {**dict.fromkeys(range(1, 13), 0), 31: 30}
     assert len(settled) > 3 and rounds == list(range(2, len(settled) + 1))
     assert "Trim native heap" in exchange._trim(spark) or os.uname().sysname != "Linux"
+
+
+def test_stages_begin_with_rested_executors(spark, monkeypatch):
+    # what earlier jobs left on an executor's heap goes, and each stage of the pipeline has that done before all else
+    import corpus_pipeline
+
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    left = spark._jvm.java.nio.ByteBuffer.allocate(300 << 20)
+    full = runtime.totalMemory() - runtime.freeMemory()
+    del left
+    gc.collect()
+    exchange.rest(spark)
+    assert full - (runtime.totalMemory() - runtime.freeMemory()) > 200 << 20
+    rows = [pa.RecordBatch.from_pylist([{"done": "a"}]), pa.RecordBatch.from_pylist([{"done": None}])]
+    assert list(exchange._trimmed(iter(rows))) == rows
+
+    class Rested(Exception):
+        pass
+
+    def rest(_):
+        raise Rested
+
+    monkeypatch.setattr(exchange, "rest", rest)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Rested):
+            stage(spark, None, None)
